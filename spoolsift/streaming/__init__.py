@@ -1,0 +1 @@
+"""Incremental loading of finished session files."""
