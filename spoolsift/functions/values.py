@@ -63,7 +63,8 @@ def first_truthy(*values: Column) -> Column:
 
 def joined_text(parts: Column) -> Column:
     """The ``text`` of the object parts of a list, one per line."""
-    return F.array_join(F.transform(F.filter(parts, is_object), lambda p: text_at(p, "$.text")), "\n")
+    objects = F.filter(F.transform(parts, lambda p: get(p, "$", "struct<text:string>")), lambda p: p.isNotNull())
+    return F.array_join(F.transform(objects, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
 
 
 def string_or_parts(value: Column) -> Column:

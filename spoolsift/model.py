@@ -33,4 +33,4 @@ EVENT_COLUMNS = (
 def slab_of(seq: str | Column = "seq", size: int = SLAB) -> Column:
     """Number of the slab a record falls in."""
     col = F.col(seq) if isinstance(seq, str) else seq
-    return F.floor(col / F.lit(size)).cast("bigint")
+    return F.call_function("div", col, F.lit(size))

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from spoolsift.functions.values import (
     first_truthy,
     get,
-    has,
-    is_object,
     list_at,
     spaced,
     string_or_parts,
@@ -16,7 +14,7 @@ from spoolsift.functions.values import (
     word,
 )
 from spoolsift.model import EVENT_COLUMNS, KEY
-from spoolsift.sources.lines import readable
+from spoolsift.sources.lines import parsed, readable
 
 # The input keys that describe a tool call, and the fields that
 # describe a record that is neither talk, system nor attachment, in order.
@@ -24,101 +22,100 @@ ARGUMENT_KEYS = ("command", "file_path", "skill", "pattern", "prompt", "url")
 NOTE_KEYS = ("aiTitle", "customTitle", "agentName", "lastPrompt", "mode", "permissionMode")
 
 
+# Fields of a record and of a content block; what may be of several types stays a variant.
+_RECORD = (
+    "type string, timestamp string, toolDenialKind string, subtype string, content string, isMeta variant, "
+    "isCompactSummary variant, message variant, attachment variant, " + ", ".join(f"{key} variant" for key in NOTE_KEYS)
+)
+_BLOCK = (
+    "struct<type:string,text:string,thinking:string,id:string,name:string,tool_use_id:string,is_error:variant,"
+    "input:struct<" + ",".join(f"{key}:variant" for key in ARGUMENT_KEYS) + ">,content:variant>"
+)
+
+
 def claude_events(lines: DataFrame) -> DataFrame:
     """One event per content block, or one per record without blocks."""
-    rec = F.col("rec")
-    content = get(rec, "$.message.content")
-    talk = F.col("type").isin("user", "assistant")
-    records = readable(lines).select(
-        "provider",
-        "project",
-        "session_id",
-        "path",
-        "seq",
-        "line",
-        text_at(rec, "$.type").alias("type"),
-        text_at(rec, "$.timestamp").alias("ts"),
-        text_at(rec, "$.toolDenialKind").alias("denial"),
-        truthy(get(rec, "$.isMeta")).alias("meta"),
-        truthy(get(rec, "$.isCompactSummary")).alias("compact"),
-        list_at(content, "$").alias("items"),
-        text_at(content, "$").alias("said"),
-        F.concat(F.lit("system."), text_at(rec, "$.subtype")).alias("system_kind"),
-        text_at(rec, "$.content").alias("system_text"),
-        F.concat(F.lit("attachment."), text_at(rec, "$.attachment.type")).alias("attachment_kind"),
-        F.coalesce(word(get(rec, "$.attachment.content")), F.lit("")).alias("attachment_text"),
-        first_truthy(*[get(rec, f"$.{key}") for key in NOTE_KEYS]).alias("note"),
-    )
-    placed = F.transform("items", lambda v, i: F.struct(i.cast("int").alias("block"), v.alias("value")))
-    blocks = F.filter(F.when(talk, placed), lambda b: is_object(b["value"]))
-    exploded = records.select("*", F.explode_outer(blocks).alias("item"))
-    value = F.col("item.value")
-    split = exploded.select(
-        "*", F.col("item").isNotNull().alias("has_block"), text_at(value, "$.type").alias("block_type")
+    empty, kind = F.lit(""), F.col("type")
+
+    def text(name: str) -> Column:
+        return F.coalesce(name, empty)
+
+    talk, attachment = kind.isin("user", "assistant"), F.col("rec.attachment")
+    records = parsed(lines, _RECORD).select(
+        "*", text("rec.type").alias("type"), get(F.col("rec.message"), "$.content").alias("said")
     )
-    block_type, has_block = F.col("block_type"), F.col("has_block")
-    listed = F.col("items").isNotNull()
-
-    def by_type(block: Column, whole: Column, system: Column, attachment: Column, rest: Column) -> Column:
-        return (
-            F.when(has_block, block)
-            .when(talk, whole)
-            .when(F.col("type") == "system", system)
-            .when(F.col("type") == "attachment", attachment)
-            .otherwise(rest)
-        )
-
-    empty = F.lit("")
-    block_kind = (
-        F.when(block_type == "tool_use", "tool").when(block_type == "tool_result", "result").otherwise(block_type)
+    records = records.withColumn("items", F.when(talk, list_at(F.col("said"), "$")))
+    with_block = F.exists("items", lambda v: get(v, "$", "struct<type:string>").isNotNull())
+    plain = talk & F.col("items").isNull()
+    # What the record says as a whole, used where no block stands for it.
+    records = records.select(
+        *("provider", "project", "session_id", "path", "seq", "line"),
+        text("rec.timestamp").alias("ts"),
+        F.when(kind == "user", "user")
+        .when(kind == "assistant", "asst")
+        .when(kind == "system", "sys")
+        .when(kind == "attachment", "attach")
+        .otherwise("meta")
+        .alias("role"),
+        F.when(plain, "text")
+        .when(kind == "system", F.concat(F.lit("system."), text("rec.subtype")))
+        .when(kind == "attachment", F.concat(F.lit("attachment."), text_at(attachment, "$.type")))
+        .otherwise(kind)
+        .alias("whole_kind"),
+        F.when(plain, text_at(F.col("said"), "$"))
+        .when(talk, "")
+        .when(kind == "system", text("rec.content"))
+        .when(kind == "attachment", F.coalesce(word(get(attachment, "$.content")), empty))
+        .otherwise(first_truthy(*[F.col(f"rec.{key}") for key in NOTE_KEYS]))
+        .alias("whole_text"),
+        F.when(plain & truthy(F.col("rec.isCompactSummary")), "compact")
+        .when(plain & truthy(F.col("rec.isMeta")), "meta")
+        .otherwise("")
+        .alias("whole_tag"),
+        text("rec.toolDenialKind").alias("denial"),
+        F.when(truthy(F.col("rec.isMeta")), "meta").otherwise("").alias("text_tag"),
+        # One row per block, one for a record without blocks, none for a line that is no record.
+        F.when(with_block, F.col("items"))
+        .when(F.col("rec").isNotNull(), F.array(F.lit(None).cast("variant")))
+        .otherwise(F.array().cast("array<variant>"))
+        .alias("blocks"),
     )
-    block_text = (
-        F.when(block_type == "text", text_at(value, "$.text"))
-        .when(block_type == "thinking", text_at(value, "$.thinking"))
-        .when(block_type == "tool_use", _argument(value))
-        .when(block_type == "tool_result", string_or_parts(get(value, "$.content")))
-        .otherwise(_block_json(""))
+    split = (
+        # The outer form spares Spark a filter on the array, for which it would parse every line twice.
+        records.select("*", F.posexplode_outer("blocks").alias("at", "item"))
+        .where("at IS NOT NULL")
+        .where(F.col("item").isNull() | get(F.col("item"), "$", "struct<type:string>").isNotNull())
+        .withColumn("b", get(F.col("item"), "$", _BLOCK))
+        .withColumn("block_type", text("b.type"))
     )
-    is_result = has_block & (block_type == "tool_result")
-    plain_tag = F.when(F.col("compact"), "compact").when(F.col("meta"), "meta").otherwise("")
+    block_type, is_block = F.col("block_type"), F.col("item").isNotNull()
+    is_call, is_result = is_block & (block_type == "tool_use"), is_block & (block_type == "tool_result")
+    is_text = is_block & (block_type == "text")
     return split.select(
-        "provider",
-        "project",
-        "session_id",
-        "path",
-        "seq",
-        F.coalesce("item.block", F.lit(0)).alias("block"),
+        *("provider", "project", "session_id", "path", "seq"),
+        F.col("at").alias("block"),
         "ts",
-        F.when(F.col("type") == "user", "user")
-        .when(F.col("type") == "assistant", "asst")
-        .when(F.col("type") == "system", "sys")
-        .when(F.col("type") == "attachment", "attach")
-        .otherwise("meta")
-        .alias("role"),
-        by_type(
-            block_kind,
-            F.when(listed, F.col("type")).otherwise("text"),
-            F.col("system_kind"),
-            F.col("attachment_kind"),
-            F.col("type"),
-        ).alias("kind"),
-        by_type(
-            block_text,
-            F.when(listed, "").otherwise(F.col("said")),
-            F.col("system_text"),
-            F.col("attachment_text"),
-            F.col("note"),
-        ).alias("text"),
-        F.when(has_block & (block_type == "tool_use"), text_at(value, "$.name")).otherwise("").alias("tool"),
-        F.when(is_result, truthy(get(value, "$.is_error"))).otherwise(F.lit(False)).alias("is_error"),
-        F.when(is_result, F.col("denial"))
-        .when(has_block & (block_type == "text") & F.col("meta"), "meta")
-        .when(~has_block & talk & ~listed, plain_tag)
-        .otherwise(empty)
+        "role",
+        F.when(~is_block, F.col("whole_kind"))
+        .when(is_call, "tool")
+        .when(is_result, "result")
+        .otherwise(block_type)
+        .alias("kind"),
+        F.when(~is_block, F.col("whole_text"))
+        .when(is_text, text("b.text"))
+        .when(block_type == "thinking", text("b.thinking"))
+        .when(is_call, _argument())
+        .when(is_result, string_or_parts(F.col("b.content")))
+        .otherwise(_block_json(""))
+        .alias("text"),
+        F.when(is_call, text("b.name")).otherwise("").alias("tool"),
+        F.when(is_result, truthy(F.col("b.is_error"))).otherwise(F.lit(False)).alias("is_error"),
+        F.when(~is_block, F.col("whole_tag"))
+        .when(is_result, F.col("denial"))
+        .when(is_text, F.col("text_tag"))
+        .otherwise("")
         .alias("tag"),
-        F.when(has_block & (block_type == "tool_use"), text_at(value, "$.id"))
-        .when(is_result, text_at(value, "$.tool_use_id"))
-        .alias("call_id"),
+        F.when(is_call, text("b.id")).when(is_result, text("b.tool_use_id")).alias("call_id"),
         "line",
     ).select(*EVENT_COLUMNS)
 
@@ -132,34 +129,43 @@ def skill_of(events: DataFrame) -> DataFrame:
 
 def claude_sessions(lines: DataFrame) -> DataFrame:
     """One summary row per session file."""
-    rec = F.col("rec")
-    content = get(rec, "$.message.content")
-    items = list_at(content, "$")
-    first_text = F.filter(items, lambda b: is_object(b) & (text_at(b, "$.type") == "text"))
-    records = readable(lines).select(
+    fields = (
+        "type string, timestamp string, isSidechain variant, isApiErrorMessage variant, isMeta variant, message variant, "
+        "effort string, cwd string, gitBranch string, aiTitle string, customTitle string"
+    )
+    message = "struct<content:variant,model:string,usage:variant>"
+    block = "struct<type:string,text:string,is_error:variant>"
+    blank = F.lit("")
+    records = (
+        parsed(lines, fields)
+        .withColumn("message", get(F.col("rec.message"), "$", message))
+        .withColumn("items", list_at(F.col("message.content"), "$"))
+        # NULLs stand for what is no object and drop out of every test below.
+        .withColumn("blocks", F.transform("items", lambda v: get(v, "$", block)))
+    )
+    first_text = F.get(F.filter("blocks", lambda b: b["type"] == "text"), 0)["text"]
+    records = records.select(
         "provider",
         "project",
         "session_id",
         "path",
         "seq",
         "size_bytes",
-        text_at(rec, "$.type").alias("type"),
-        F.nullif(text_at(rec, "$.timestamp"), F.lit("")).alias("ts"),
-        truthy(get(rec, "$.isSidechain")).alias("sidechain"),
-        truthy(get(rec, "$.isApiErrorMessage")).alias("api_error"),
-        truthy(get(rec, "$.isMeta")).alias("meta"),
-        get(rec, "$.message.model", "string").alias("model"),
-        get(rec, "$.effort", "string").alias("effort"),
-        F.coalesce(get(rec, "$.message.usage.output_tokens", "bigint"), F.lit(0)).alias("output_tokens"),
-        get(rec, "$.cwd", "string").alias("cwd"),
-        text_at(rec, "$.gitBranch").alias("branch"),
-        get(rec, "$.aiTitle", "string").alias("ai_title"),
-        get(rec, "$.customTitle", "string").alias("custom_title"),
-        F.coalesce(
-            F.size(F.filter(items, lambda b: is_object(b) & truthy(get(b, "$.is_error")))), F.lit(0)
-        ).alias("error_blocks"),
+        F.coalesce("rec.type", blank).alias("type"),
+        F.nullif("rec.timestamp", blank).alias("ts"),
+        truthy(F.col("rec.isSidechain")).alias("sidechain"),
+        truthy(F.col("rec.isApiErrorMessage")).alias("api_error"),
+        truthy(F.col("rec.isMeta")).alias("meta"),
+        F.col("message.model").alias("model"),
+        F.col("rec.effort").alias("effort"),
+        F.coalesce(get(F.col("message.usage"), "$.output_tokens", "bigint"), F.lit(0)).alias("output_tokens"),
+        F.col("rec.cwd").alias("cwd"),
+        F.coalesce("rec.gitBranch", blank).alias("branch"),
+        F.col("rec.aiTitle").alias("ai_title"),
+        F.col("rec.customTitle").alias("custom_title"),
+        F.coalesce(F.size(F.filter("blocks", lambda b: truthy(b["is_error"]))), F.lit(0)).alias("error_blocks"),
         F.nullif(
-            F.when(items.isNull(), text_at(content, "$")).otherwise(text_at(F.get(first_text, 0), "$.text")), F.lit("")
+            F.when(F.col("items").isNull(), text_at(F.col("message.content"), "$")).otherwise(first_text), blank
         ).alias("typed"),
     )
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
@@ -180,7 +186,6 @@ def claude_sessions(lines: DataFrame) -> DataFrame:
         F.count_if("sidechain").alias("sidechain_records"),
         F.max("size_bytes").alias("size_bytes"),
     )
-    blank = F.lit("")
     return summary.select(
         "provider",
         "project",
@@ -208,8 +213,8 @@ def claude_sessions(lines: DataFrame) -> DataFrame:
 
 def attribution(lines: DataFrame) -> DataFrame:
     """Records per session and skill."""
-    skill = word(get(F.col("rec"), "$.attributionSkill"))
-    named = readable(lines).where(truthy(get(F.col("rec"), "$.attributionSkill")))
+    skill = word(F.col("rec.attributionSkill"))
+    named = readable(lines, "attributionSkill variant").where(truthy(F.col("rec.attributionSkill")))
     return named.groupBy("provider", "project", "session_id", KEY, skill.alias("skill")).agg(
         F.count(F.lit(1)).alias("records")
     )
@@ -220,16 +225,16 @@ def _where(condition: Column) -> Column:
     return F.when(condition, F.col("seq"))
 
 
-def _argument(block: Column) -> Column:
+def _argument() -> Column:
     """What a tool call is about: its first known input key, else the whole input."""
-    chain = None
+    chain = F
     for key in ARGUMENT_KEYS:
-        path = f"$.input.{key}"
-        chain = (F if chain is None else chain).when(has(block, path), word(get(block, path)))
+        value = F.col(f"b.input.{key}")
+        chain = chain.when(value.isNotNull(), word(value))
     return chain.otherwise(_block_json(".input"))
 
 
 def _block_json(below: str) -> Column:
     """JSON text of the block, or of a part of it, with keys in source order."""
-    path = F.concat(F.lit("$.message.content["), F.col("item.block").cast("string"), F.lit(f"]{below}"))
+    path = F.concat(F.lit("$.message.content["), F.col("at").cast("string"), F.lit(f"]{below}"))
     return F.coalesce(spaced(F.call_function("get_json_object", F.make_valid_utf8("line"), path)), F.lit("{}"))

@@ -30,23 +30,31 @@ def codex_events(lines: DataFrame) -> DataFrame:
     return _with_event(lines).select(*EVENT_COLUMNS)
 
 
+# Fields of a record and of its payload; what may be of several types stays a variant.
+_RECORD = "type string, timestamp string, payload variant"
+_PAYLOAD = (
+    "struct<type:string,role:variant,phase:variant,name:string,call_id:string,message:variant,model:variant,"
+    "effort:variant,content:variant,summary:variant,arguments:variant,input:variant,action:variant,output:variant,"
+    "exit_code:variant,stderr:variant,aggregated_output:variant,stdout:variant,success:variant,result:variant,"
+    "invocation:variant>"
+)
+
+
 def _with_event(lines: DataFrame) -> DataFrame:
-    rec = F.col("rec")
-    records = readable(lines).select(
+    records = readable(lines, _RECORD).select(
         "*",
-        text_at(rec, "$.type").alias("type"),
-        text_at(rec, "$.timestamp").alias("ts"),
-        get(rec, "$.payload").alias("payload"),
-        text_at(rec, "$.payload.type").alias("payload_type"),
-        get(rec, "$.payload.output").alias("output"),
+        F.coalesce("rec.type", F.lit("")).alias("type"),
+        F.coalesce("rec.timestamp", F.lit("")).alias("ts"),
+        F.col("rec.payload").alias("payload"),
+        get(F.col("rec.payload"), "$", _PAYLOAD).alias("part"),
     )
-    output = F.col("output")
+    output = F.col("part.output")
     inner = F.when(is_string(output), F.try_parse_json(F.try_variant_get(output, "$", "string"))).otherwise(output)
-    records = records.withColumn("inner", inner)
+    records = records.withColumns({"inner": inner, "payload_type": F.coalesce("part.type", F.lit(""))})
 
     item, event = F.col("type") == "response_item", F.col("type") == "event_msg"
     context = F.col("type") == "turn_context"
-    payload, payload_type = F.col("payload"), F.col("payload_type")
+    payload_type = F.col("payload_type")
     message = item & payload_type.isin(*MESSAGES)
     reasoning = item & (payload_type == "reasoning")
     call, search = item & payload_type.isin(*CALLS), item & (payload_type == "web_search_call")
@@ -56,29 +64,29 @@ def _with_event(lines: DataFrame) -> DataFrame:
     patch_end = payload_type == "patch_apply_end"
 
     def field(key: str) -> Column:
-        return get(payload, f"$.{key}")
+        return F.col(f"part.{key}")
 
     def as_json(key: str, absent: str) -> Column:
         raw = F.get_json_object(F.make_valid_utf8("line"), f"$.payload.{key}")
         quoted = F.when(is_string(field(key)), F.to_json(field(key))).otherwise(spaced(raw))
-        return F.when(has(payload, f"$.{key}"), F.coalesce(quoted, F.lit("null"))).otherwise(absent)
+        return F.when(field(key).isNotNull(), F.coalesce(quoted, F.lit("null"))).otherwise(absent)
 
-    role_word = F.when(has(payload, "$.role"), word(field("role"))).otherwise("assistant")
+    def named(key: str) -> Column:
+        return F.coalesce(word(field(key)), F.lit(""))
+
+    role_word = F.coalesce(word(field("role")), F.lit("assistant"))
     talk_role = F.when(role_word == "user", "user").when(role_word == "assistant", "asst").otherwise("sys")
     failed_end = (
         F.when(exec_end, truthy(field("exit_code")))
         .when(patch_end, F.coalesce(F.to_json(field("success")) == "false", F.lit(False)))
-        .otherwise(has(payload, "$.result.Err"))
+        .otherwise(has(field("result"), "$.Err"))
     )
     end_text = (
         F.when(exec_end, first_truthy(field("stderr"), field("aggregated_output")))
         .when(patch_end, first_truthy(field("stderr"), field("stdout")))
         .otherwise(as_json("invocation", '""'))
     )
-    def part(key: str) -> Column:
-        return F.when(has(payload, f"$.{key}"), word(field(key))).otherwise("")
-
-    model_text = F.concat(part("model"), F.lit("/"), part("effort"))
+    model_text = F.concat(named("model"), F.lit("/"), named("effort"))
     output_text = (
         F.when(F.col("inner").isNull(), text_at(output, "$"))
         .when(is_object(F.col("inner")), F.coalesce(word(get(F.col("inner"), "$.output")), F.lit("")))
@@ -105,11 +113,11 @@ def _with_event(lines: DataFrame) -> DataFrame:
             .when(call, first_truthy(field("arguments"), field("input")))
             .when(search, as_json("action", "{}"))
             .when(result, output_text)
-            .when(said, F.coalesce(word(field("message")), F.lit("")))
+            .when(said, named("message"))
             .when(end, end_text)
             .when(context, model_text)
             .otherwise(""),
-            "tool": F.when(call, F.coalesce(get(payload, "$.name", "string"), payload_type))
+            "tool": F.when(call, F.coalesce(field("name"), payload_type))
             .when(search, "web_search")
             .otherwise(""),
             "is_error": F.when(
@@ -118,7 +126,7 @@ def _with_event(lines: DataFrame) -> DataFrame:
             .when(end, failed_end)
             .otherwise(F.lit(False)),
             "tag": F.when(message, first_truthy(field("phase"))).otherwise(""),
-            "call_id": F.when(call | result | end, text_at(payload, "$.call_id")),
+            "call_id": F.when(call | result | end, F.coalesce(field("call_id"), F.lit(""))),
         }
     )
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spoolsift.model import KEY, SLAB, slab_of
 from spoolsift.operators.slabs import running, whole_group
+from spoolsift.sources.store import kept
 
 
 def number_events(events: DataFrame, slab: int = SLAB) -> DataFrame:
@@ -41,3 +42,12 @@ def pair_tools(events: DataFrame, slab: int = SLAB) -> DataFrame:
             "tool": F.when(result & F.col("_call").isNotNull(), F.col("_call.tool")).otherwise(F.col("tool")),
         }
     ).drop("_call", "_result")
+
+
+def ready_events(events: DataFrame) -> DataFrame:
+    """Freshly parsed events, paired and numbered.
+
+    Both steps read their input twice, so the parsed events are written to the
+    shared folder first and no line is parsed again.
+    """
+    return number_events(pair_tools(kept(events, "events")))

@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoolsift.functions.secrets import fingerprint, marker
-from spoolsift.operators.detect import FINDING, find_secrets, worth_scanning
+from spoolsift.operators.detect import find_secrets, worth_scanning
 from spoolsift.operators.rules import OWN_RULES, RuleSet
+from spoolsift.sources.lines import is_json
 
 # A JSON string, taken as a whole so that no match can start inside one, and the colon that makes it a key.
 _LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
@@ -20,14 +21,12 @@ def string_values(line: Column) -> Column:
     return F.transform(values, lambda s: F.when(F.contains(s, F.lit("\\")), decoded(s)).otherwise(plain(s)))
 
 
-def is_json(line: Column) -> Column:
-    """Can the line be read as a JSON object? Values are skipped over, so size does not matter."""
-    parsed = F.from_json(line, "_probe string, _corrupt_record string")
-    return line.isNotNull() & parsed["_corrupt_record"].isNull() & F.startswith(F.ltrim(line), F.lit("{"))
-
-
 def line_findings(
-    lines: DataFrame, rules: RuleSet = OWN_RULES, candidates: bool = False, windows: bool = False
+    lines: DataFrame,
+    rules: RuleSet = OWN_RULES,
+    candidates: bool = False,
+    windows: bool = False,
+    by_value: bool = False,
 ) -> DataFrame:
     """Add ``findings`` over all string values of a line; NULL for lines that are not scanned.
 
@@ -35,7 +34,7 @@ def line_findings(
     """
     scanned = F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates) & is_json(F.col("line"))
     values = F.when(scanned, string_values(F.col("line")))
-    return lines.withColumn("findings", find_secrets(values, rules, candidates, windows))
+    return lines.withColumn("findings", find_secrets(values, rules, candidates, windows, by_value))
 
 
 def line_audit_rows(
@@ -58,23 +57,9 @@ def redact_lines(lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, window
     A line that would no longer be JSON, and any line without findings, stays
     as it is, byte for byte. Row order within a partition is kept.
     """
-    scanned = line_findings(lines, rules, windows=windows)
-    # One entry per value; the last kind found for it counts.
-    latest = F.reverse(F.coalesce("findings", F.array().cast(FINDING)))
-    once = F.filter(
-        latest, lambda f, i: F.array_position(F.transform(latest, lambda g: g["value"]), f["value"]) == i + 1
-    )
-    # Longest first, so that a value inside another is replaced with it.
-    longest = F.array_sort(
-        F.transform(
-            once,
-            lambda f: F.struct(
-                (-F.length(f["value"])).alias("rank"),
-                f["value"].alias("value"),
-                f["kind"].alias("kind"),
-                marker(f["kind"], f["value"], salt).alias("mark"),
-            ),
-        )
+    scanned = line_findings(lines, rules, windows=windows, by_value=True)
+    marked = F.transform(
+        "findings", lambda f: F.struct(f["value"], f["kind"], marker(f["kind"], f["value"], salt).alias("mark"))
     )
 
     def step(state: Column, f: Column) -> Column:
@@ -92,16 +77,17 @@ def redact_lines(lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, window
         F.lit(0).alias("replacements"),
         F.array().cast("array<string>").alias("kinds"),
     )
-    done = scanned.withColumn("_new", F.when(F.size("findings") > 0, F.aggregate(longest, start, step)))
-    valid = (F.col("_new.replacements") > 0) & is_json(F.col("_new.line"))
-    checked = done.withColumn("_new", F.when(valid, F.col("_new"))).drop("findings")
-    return checked.withColumns(
-        {
-            "line": F.coalesce("_new.line", "line"),
-            "replacements": F.coalesce("_new.replacements", F.lit(0)),
-            "kinds": F.coalesce("_new.kinds", F.array().cast("array<string>")),
-        }
-    ).drop("_new")
+    folded = F.when(F.size("findings") > 0, F.aggregate(marked, start, step))
+    # Exploding one element keeps filters on the outcome from repeating the work.
+    done = scanned.withColumn("_new", F.array(folded)).withColumn("_new", F.explode_outer("_new")).drop("findings")
+    changed = (F.col("_new.replacements") > 0) & is_json(F.col("_new.line"))
+    none = F.array().cast("array<string>")
+    return done.withColumn("_changed", F.coalesce(changed, F.lit(False))).select(
+        *[name for name in lines.columns if name != "line"],
+        F.when(F.col("_changed"), F.col("_new.line")).otherwise(F.col("line")).alias("line"),
+        F.when(F.col("_changed"), F.col("_new.replacements")).otherwise(0).alias("replacements"),
+        F.when(F.col("_changed"), F.col("_new.kinds")).otherwise(none).alias("kinds"),
+    )
 
 
 def without_live(lines: DataFrame, live: DataFrame) -> DataFrame:
@@ -113,22 +99,22 @@ def redaction_report(redacted: DataFrame) -> DataFrame:
     """Per changed file: lines changed, occurrences replaced and the kinds, most frequent first."""
     keys = ["project", "session_id", "path"]
     changed = redacted.where(F.col("replacements") > 0)
-    kinds = (
-        changed.select(*keys, F.explode("kinds").alias("kind"))
-        .groupBy(*keys, "kind")
-        .agg(F.count(F.lit(1)).alias("n"))
+    # A changed line has one row per kind; its first row carries the line's own figures.
+    rows = changed.select(*keys, "replacements", F.posexplode("kinds").alias("at", "kind"))
+    first = F.col("at") == 0
+    per_kind = rows.groupBy(*keys, "kind").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(first).alias("lines"),
+        F.sum(F.when(first, F.col("replacements")).otherwise(0)).alias("replacements"),
     )
+    entry = F.concat("kind", F.lit("("), F.col("n").cast("string"), F.lit(")"))
     # As many entries per file as there are kinds of secrets.
-    listed = kinds.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "kind", "n"))).alias("entries")
-    )
-    cell = F.array_join(
-        F.transform("entries", lambda e: F.concat(e["kind"], F.lit("("), e["n"].cast("string"), F.lit(")"))), ","
-    )
-    totals = changed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("replacements").alias("replacements")
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "kind", entry.alias("entry"))))
+    return per_kind.groupBy(*keys).agg(
+        F.sum("lines").alias("lines"),
+        F.sum("replacements").alias("replacements"),
+        F.array_join(F.transform(entries, lambda e: e["entry"]), ",").alias("kinds"),
     )
-    return totals.join(listed.select(*keys, cell.alias("kinds")), keys)
 
 
 def write_redacted(lines: DataFrame, out: str, salt: str, rules: RuleSet = OWN_RULES) -> None:

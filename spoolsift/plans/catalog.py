@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolsift.operators import claude, codex, detect, redact, scope, search, views
-from spoolsift.operators.events import number_events, pair_tools
+from spoolsift.operators.events import pair_tools, ready_events
 from spoolsift.session import prepare
 from spoolsift.sources import codex as codex_source
 from spoolsift.sources import tables
@@ -107,8 +107,7 @@ def pair_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_claude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' lines of the nested-message format as numbered, paired events."""
     lines = tables.activity_lines_claude(prepare(spark), sf_dir)
-    events = number_events(pair_tools(claude.claude_events(lines)))
-    return events.select(
+    return ready_events(claude.claude_events(lines)).select(
         "session_id", "seq", "block", "pos", "ts", "role", "kind", "text", "tool", "is_error", "tag", "call_id"
     )
 
@@ -122,8 +121,7 @@ def normalize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_codex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' lines of the payload format as numbered, paired events."""
     lines = tables.activity_lines_codex(prepare(spark), sf_dir)
-    events = number_events(pair_tools(codex.codex_events(lines)))
-    return events.select(
+    return ready_events(codex.codex_events(lines)).select(
         "session_id", "seq", "block", "pos", "ts", "role", "kind", "text", "tool", "is_error", "tag", "call_id"
     )
 

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are dear here (JSON, regexes), so small shuffles still go to all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # Top-n per session keeps at most n rows per session and map task before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Python only runs the secret rules; small batches keep long texts within worker memory.

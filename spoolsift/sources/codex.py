@@ -29,10 +29,9 @@ def in_scope(lines: DataFrame, cwd: str | None = None) -> DataFrame:
 
 
 def session_heads(first_lines: DataFrame) -> DataFrame:
-    """What line one says of a session: id, directory, kind, origin and start."""
-    payload = get(F.col("rec"), "$.payload")
-    source = get(payload, "$.source")
-    heads = readable(first_lines).where(text_at(F.col("rec"), "$.type") == "session_meta")
+    """What line one says of a session: its id, directory and start."""
+    payload = F.col("rec.payload")
+    heads = readable(first_lines, "type string, timestamp string, payload variant").where("rec.type = 'session_meta'")
     stem = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
     return heads.select(
         "path",
@@ -40,12 +39,7 @@ def session_heads(first_lines: DataFrame) -> DataFrame:
             F.nullif(first_truthy(get(payload, "$.session_id"), get(payload, "$.id")), F.lit("")), stem
         ).alias("session_id"),
         text_at(payload, "$.cwd").alias("cwd"),
-        F.when(F.schema_of_variant(source) == "STRING", text_at(source, "$"))
-        .otherwise(first_truthy(get(payload, "$.thread_source")))
-        .alias("session_kind"),
-        text_at(payload, "$.originator").alias("originator"),
-        text_at(payload, "$.cli_version").alias("cli_version"),
-        text_at(F.col("rec"), "$.timestamp").alias("started"),
+        F.coalesce("rec.timestamp", F.lit("")).alias("started"),
     )
 
 
@@ -56,7 +50,8 @@ def read_titles(spark: SparkSession, root: str) -> DataFrame:
 
 def first_titles(lines: DataFrame) -> DataFrame:
     """The earliest entry of every session id."""
-    entries = readable(lines).select(
-        text_at(F.col("rec"), "$.session_id").alias("session_id"), "seq", text_at(F.col("rec"), "$.text").alias("text")
+    blank = F.lit("")
+    entries = readable(lines, "session_id string, text string").select(
+        F.coalesce("rec.session_id", blank).alias("session_id"), "seq", F.coalesce("rec.text", blank).alias("text")
     )
     return entries.groupBy("session_id").agg(F.min_by("text", "seq").alias("history_title"))

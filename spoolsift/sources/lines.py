@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,23 +42,46 @@ def read_lines(
     )
 
 
-def readable(lines: DataFrame) -> DataFrame:
-    """Lines that hold a JSON object, parsed into ``rec``; the others keep their number but give no row.
+# No limit on the length of one string; the parser's own default is 20 million characters.
+JSON_OPTIONS = {"maxStringLen": "1000000000"}
 
-    Bytes that are not UTF-8 become replacement characters first.
+
+def parsed(lines: DataFrame, fields: str) -> DataFrame:
+    """Lines with the given fields as ``rec``, which is NULL where a line holds no JSON object.
+
+    Declare fields as strings or variants, so that no value can be of a wrong
+    type. Bytes that are not UTF-8 become replacement characters first.
     """
-    parsed = F.try_parse_json(F.make_valid_utf8("line"))
-    # A one-element explode keeps Spark from parsing once for the filter and once for the columns.
-    found = F.filter(F.array(parsed), lambda r: F.try_variant_get(r, "$", "map<string,variant>").isNotNull())
-    return lines.select("*", F.explode_outer(found).alias("rec")).where(F.col("rec").isNotNull())
+    read = F.from_json(F.make_valid_utf8("line"), f"{fields}, _corrupt_record string", JSON_OPTIONS)
+    record = F.col("_record")
+    sound = _braced(F.col("line")) & record.isNotNull() & record["_corrupt_record"].isNull()
+    return lines.withColumn("_record", read).withColumn("rec", F.when(sound, record)).drop("_record")
+
+
+def readable(lines: DataFrame, fields: str) -> DataFrame:
+    """Only the lines that hold a JSON object; the numbers of the others stay used."""
+    held = parsed(lines, fields).withColumn("rec", F.array("rec"))
+    # Exploding one element keeps Spark from parsing once for the filter and once more for the columns.
+    return held.withColumn("rec", F.explode_outer("rec")).where(F.col("rec").isNotNull())
+
+
+def is_json(line: Column) -> Column:
+    """Does the line hold a JSON object? Values are skipped, so their size does not matter."""
+    read = F.from_json(line, "_nothing string, _corrupt_record string")
+    return _braced(line) & read.isNotNull() & read["_corrupt_record"].isNull()
+
+
+def _braced(line: Column) -> Column:
+    blanks = F.lit(" \t\r\n")
+    return F.startswith(F.ltrim(line, blanks), F.lit("{")) & F.endswith(F.rtrim(line, blanks), F.lit("}"))
 
 
 def line_report(lines: DataFrame) -> DataFrame:
     """Per file: lines, blank lines and lines that hold no readable JSON object."""
-    blank = F.trim(F.regexp_replace("line", r"[\s]+", "")) == ""
-    ok = F.try_variant_get(F.try_parse_json(F.make_valid_utf8("line")), "$", "map<string,variant>").isNotNull()
+    blank = F.trim(F.regexp_replace("line", r"\s+", "")) == ""
+    sound = is_json(F.make_valid_utf8("line"))
     return lines.groupBy("path").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(blank).alias("blank"),
-        F.count_if(~blank & ~ok).alias("unreadable"),
+        F.count_if(~blank & ~sound).alias("unreadable"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spoolsift.model import KEY
 from spoolsift.operators.slabs import running
+from spoolsift.sources.store import spread
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -325,7 +326,7 @@ def credential_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper(F.md5(F.concat(F.lit("t"), F.col("doc_id").cast("string")))),
         F.lit("xyz"),
     )
-    return _table(spark, sf_dir, "documents").select(
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         F.col("source").alias("session_id"), (F.col("doc_id") + 1).alias("seq"), F.concat("text", added).alias("text")
     )
 
