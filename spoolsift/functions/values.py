@@ -79,5 +79,6 @@ def string_or_parts(value: Column) -> Column:
 
 def spaced(json_text: Column) -> Column:
     """Compact JSON with a blank after every comma and colon outside strings."""
-    token = r'((?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",:])*+)([,:])'
+    # \G: each match starts where the last one ended, never inside a string.
+    token = r'\G((?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^",:])*+)([,:])'
     return F.regexp_replace(json_text, token, "$1$2 ")

@@ -30,7 +30,8 @@ EVENT_COLUMNS = (
 )
 
 
-def slab_of(seq: str | Column = "seq", size: int = SLAB) -> Column:
+def slab_of(seq: str | Column = "seq", size: int | None = None) -> Column:
     """Number of the slab a record falls in."""
+    size = size or SLAB
     col = F.col(seq) if isinstance(seq, str) else seq
     return F.call_function("div", col, F.lit(size))

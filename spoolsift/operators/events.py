@@ -3,18 +3,18 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolsift.model import KEY, SLAB, slab_of
+from spoolsift.model import KEY, slab_of
 from spoolsift.operators.slabs import running, whole_group
 from spoolsift.sources.store import kept
 
 
-def number_events(events: DataFrame, slab: int = SLAB) -> DataFrame:
+def number_events(events: DataFrame, slab: int | None = None) -> DataFrame:
     """Add ``pos``, the 1-based place of the event in its session."""
     order = [F.col("seq"), F.col("block")]
     return running(events, [KEY], {"_slab": (slab_of("seq", slab), False)}, order, "pos")
 
 
-def pair_tools(events: DataFrame, slab: int = SLAB) -> DataFrame:
+def pair_tools(events: DataFrame, slab: int | None = None) -> DataFrame:
     """Give results the tool of their call, and calls ``ok`` or ``err``, matched on call id in a session.
 
     File order is ignored. Of several calls with an id only the last is

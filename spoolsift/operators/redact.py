@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoolsift.functions.secrets import fingerprint, marker
-from spoolsift.operators.detect import find_secrets, worth_scanning
+from spoolsift.operators.detect import each, find_secrets, worth_scanning
 from spoolsift.operators.rules import OWN_RULES, RuleSet
 from spoolsift.sources.lines import is_json
 
@@ -42,9 +42,8 @@ def line_audit_rows(
 ) -> DataFrame:
     """One row per finding in the lines, ready for :func:`spoolsift.operators.detect.audit`."""
     hot = lines.where(F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates))
-    found = line_findings(hot, rules, candidates, windows).select(
-        "session_id", "path", "seq", F.explode("findings").alias("f")
-    )
+    scanned = line_findings(hot, rules, candidates, windows)
+    found = each(scanned.select("session_id", "path", "seq", F.col("findings").alias("f")), "f")
     return found.select(
         "session_id", "path", "seq", "f.kind", "f.severity", fingerprint(F.col("f.value"), salt).alias("fp")
     )
