@@ -119,13 +119,18 @@ def redaction_report(redacted: DataFrame) -> DataFrame:
 def write_redacted(lines: DataFrame, out: str, salt: str, rules: RuleSet = OWN_RULES) -> None:
     """Write the masked lines to a new place, one directory per session file, in file order.
 
-    The lines come from ``read_lines(..., exact=True)``. They are ordered before
-    the scan, by ranges of (path, seq), so a long file spreads over several
-    parts, named in order.
+    The lines come from ``read_lines(..., exact=True)``. Ranges of (file, number)
+    spread a long file over several parts, named in order. The ranges are cut
+    before the scan, so that sampling them costs no scan, and the last sort is
+    the order the writer asks for, so that it adds none of its own.
     """
-    placed = lines.repartitionByRange("path", "seq").sortWithinPartitions("path", "seq")
-    redacted = redact_lines(placed, salt, rules)
-    named = redacted.select(
-        "project", "session_id", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("file"), "line"
+    # Not nullable, else the writer changes the columns and sorts again, without the record number.
+    named = lines.select(
+        *[F.coalesce(name, F.lit("")).alias(name) for name in ("project", "session_id")],
+        F.coalesce(F.regexp_extract("path", r"([^/]+/subagents/[^/]+|[^/]+)\.jsonl$", 1), F.lit("")).alias("file"),
+        "seq",
+        "line",
     )
-    named.write.partitionBy("project", "session_id", "file").text(out)
+    order = ["project", "session_id", "file", "seq"]
+    redacted = redact_lines(named.repartitionByRange(*order), salt, rules).sortWithinPartitions(*order)
+    redacted.select("project", "session_id", "file", "line").write.partitionBy("project", "session_id", "file").text(out)

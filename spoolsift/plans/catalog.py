@@ -11,6 +11,7 @@ from spoolsift.operators.events import pair_tools, ready_events
 from spoolsift.session import prepare
 from spoolsift.sources import codex as codex_source
 from spoolsift.sources import tables
+from spoolsift.sources.store import kept
 
 NOW = datetime(2024, 1, 30, 23, 55, tzinfo=UTC)
 SALT = "a salt for the checks"
@@ -30,7 +31,13 @@ def _users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_tools(tables.activity_events(prepare(spark), sf_dir))
+    """Paired events; the numbered ones are kept, as pairing and what follows read them several times."""
+    return pair_tools(kept(tables.activity_events(prepare(spark), sf_dir), "activity"))
+
+
+def _paired_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = kept(tables.activity_events(prepare(spark), sf_dir), "activity")
+    return pair_tools(events), tables.activity_sessions(events)
 
 
 def _secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +94,8 @@ def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without a budget, over calls, results and thoughts."""
-    events, sessions = _users(spark, sf_dir)
-    return search.search_context(pair_tools(events), sessions, "#.*77", 1, limit=0).drop("hit_block")
+    events, sessions = _paired_users(spark, sf_dir)
+    return search.search_context(events, sessions, "#.*77", 1, limit=0).drop("hit_block")
 
 
 def search_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,8 +223,8 @@ def errors_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def errors_by_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error records by tool."""
-    _, sessions = _users(spark, sf_dir)
-    return views.errors_by_tool(_paired(spark, sf_dir), sessions)
+    events, sessions = _paired_users(spark, sf_dir)
+    return views.errors_by_tool(events, sessions)
 
 
 def hidden_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,16 +234,16 @@ def hidden_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls that match a pattern, with their state."""
-    _, sessions = _users(spark, sf_dir)
-    return views.commands(_paired(spark, sf_dir), sessions, "click.*7").select(
+    events, sessions = _paired_users(spark, sf_dir)
+    return views.commands(events, sessions, "click.*7").select(
         "session_id", "seq", "tool", "command", "state"
     )
 
 
 def commands_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 tool calls of the scope."""
-    _, sessions = _users(spark, sf_dir)
-    return views.commands(_paired(spark, sf_dir), sessions, limit=50).select(
+    events, sessions = _paired_users(spark, sf_dir)
+    return views.commands(events, sessions, limit=50).select(
         "session_id", "started", "seq", "tool", "command", "state"
     )
 

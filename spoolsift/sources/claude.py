@@ -2,10 +2,10 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spoolsift.sources.lines import read_lines
+from spoolsift.sources.lines import any_path, read_lines
 
 _MAIN = r"projects/([^/]+)/([^/]+)\.jsonl$"
 _SUBAGENT = r"projects/([^/]+)/([^/]+)/subagents/[^/]+\.jsonl$"
@@ -32,7 +32,7 @@ def read_session_files(spark: SparkSession, root: str, cwd: str | None = None, e
     project = "*" if cwd is None else flatten_cwd(cwd)
     base = f"{root}/projects/{project}"
     main = _named(read_lines(spark, f"{base}/*.jsonl", exact=exact), _MAIN).withColumn("is_main", F.lit(True))
-    if not _any_path(spark, f"{base}/*/subagents/*.jsonl"):
+    if not any_path(spark, f"{base}/*/subagents/*.jsonl"):
         return main
     below = _named(read_lines(spark, f"{base}/*/subagents/*.jsonl", exact=exact), _SUBAGENT)
     return main.unionByName(below.withColumn("is_main", F.lit(False)))
@@ -40,8 +40,6 @@ def read_session_files(spark: SparkSession, root: str, cwd: str | None = None, e
 
 def session_files(lines: DataFrame) -> DataFrame:
     """One row per file with its place in its session: main file first, then the others by path."""
-    from pyspark.sql import Window
-
     files = lines.groupBy("project", "session_id", "path").agg(F.max("is_main").alias("is_main"))
     order = Window.partitionBy("project", "session_id").orderBy(F.desc("is_main"), "path")
     return files.withColumn("place", F.row_number().over(order))
@@ -58,8 +56,3 @@ def _named(lines: DataFrame, pattern: str) -> DataFrame:
         "size_bytes",
     )
 
-
-def _any_path(spark: SparkSession, pattern: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spoolsift.functions.values import first_truthy, get, text_at
 from spoolsift.model import slab_of
 from spoolsift.operators.slabs import attach
-from spoolsift.sources.lines import read_lines, readable
+from spoolsift.sources.lines import any_path, read_lines, readable
 
 
 def read_sessions(spark: SparkSession, root: str, cwd: str | None = None) -> DataFrame:
@@ -45,7 +45,10 @@ def session_heads(first_lines: DataFrame) -> DataFrame:
 
 def read_titles(spark: SparkSession, root: str) -> DataFrame:
     """First recorded text per session id from the history file: ``session_id, history_title``."""
-    return first_titles(read_lines(spark, f"{root}/history.jsonl"))
+    path = f"{root}/history.jsonl"
+    if not any_path(spark, path):
+        return spark.createDataFrame([], "session_id string, history_title string")
+    return first_titles(read_lines(spark, path))
 
 
 def first_titles(lines: DataFrame) -> DataFrame:

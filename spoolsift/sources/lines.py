@@ -42,6 +42,13 @@ def read_lines(
     )
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Is there a file that fits the path pattern?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 # No limit on the length of one string; the parser's own default is 20 million characters.
 JSON_OPTIONS = {"maxStringLen": "1000000000"}
 

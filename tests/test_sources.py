@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spoolsift.operators import search
 from spoolsift.operators.claude import claude_events, claude_sessions
 from spoolsift.operators.codex import codex_sessions
+from spoolsift.plans.load import load_claude, load_codex, read
 from spoolsift.sources import claude, codex
 from spoolsift.sources.lines import read_lines
 from spoolsift.sources.store import write_events, write_lines
@@ -94,3 +96,17 @@ def test_stored_events_and_raw_lines(spark, tmp_path, as_events, rows):
     assert "PartitionFilters: [isnotnull(provider" in plan and "EqualTo(path,s)" in plan
     write_lines(events.where("seq < 3"), f"{tmp_path}/raw")
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/raw").collect()) == ["line 1", "line 2"]
+
+
+def test_load_and_search(spark, claude_root, tmp_path, rows):
+    load_claude(spark, claude_root, f"{tmp_path}/tables")
+    events, sessions = read(spark, f"{tmp_path}/tables")
+    assert rows(events, "session_id", "seq", "pos") == [("s1", 1, 1), ("s1", 3, 2), ("s2", 1, 1)]
+    assert rows(search.search_hits(events, sessions, "hi"), "session_id", "seq") == [("s1", 1), ("s2", 1)]
+    day = tmp_path / "sessions"
+    day.mkdir()
+    (day / "rollout-1.jsonl").write_text('{"type": "session_meta", "timestamp": "2026-01-01", "payload": {"id": "S", "cwd": "/w"}}\n')
+    load_codex(spark, str(tmp_path), f"{tmp_path}/more")
+    events, sessions = read(spark, f"{tmp_path}/more")
+    assert rows(sessions, "session_id", "title") == [("S", "")]
+    assert rows(events, "session_id", "kind") == [("S", "session_meta")]
