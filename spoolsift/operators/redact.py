@@ -7,6 +7,7 @@ from spoolsift.functions.secrets import fingerprint, marker
 from spoolsift.operators.detect import each, find_secrets, worth_scanning
 from spoolsift.operators.rules import OWN_RULES, RuleSet
 from spoolsift.sources.lines import is_json
+from spoolsift.sources.store import small
 
 # A JSON string, taken as a whole so that no match can start inside one, and the colon that makes it a key.
 _LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
@@ -91,7 +92,8 @@ def redact_lines(lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, window
 
 def without_live(lines: DataFrame, live: DataFrame) -> DataFrame:
     """Lines of sessions that are no longer written; ``live`` holds ``project, session_id`` of the others."""
-    return lines.join(live.select("project", "session_id").distinct(), ["project", "session_id"], "left_anti")
+    writing, _ = small(live.select("project", "session_id").distinct(), "live")
+    return lines.join(writing, ["project", "session_id"], "left_anti")
 
 
 def redaction_report(redacted: DataFrame) -> DataFrame:

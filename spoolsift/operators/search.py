@@ -10,10 +10,9 @@ from spoolsift.functions.text import SCAN_BUDGET, event_line, event_number, prev
 from spoolsift.functions.times import is_live
 from spoolsift.model import KEY, slab_of
 from spoolsift.operators.slabs import attach
+from spoolsift.sources.store import BROADCAST_ROWS, kept
 
 SORTS = ("matches", "started")
-# Rows of a table that is broadcast by hint; beyond it Spark decides by measured size.
-BROADCAST_ROWS = 100_000
 # A context window prints at least one line with mark, id, number, clock and role, and a rule below.
 _LEAST_WINDOW = 29
 
@@ -76,7 +75,8 @@ def search_sessions(
     budget: int = SCAN_BUDGET,
 ) -> DataFrame:
     """Sessions with at least one match, newest first, under the same caps as hits."""
-    matched = sessions.join(find(events, pattern, fixed, ignore_case).select(KEY), KEY, "left_semi")
+    found = find(events, pattern, fixed, ignore_case).select(KEY).distinct()
+    matched = sessions.join(found, KEY, "left_semi")
     rows = matched.select(
         KEY, "session_id", "started", short_id(F.col("provider"), F.col("session_id")).alias("short_id")
     )
@@ -99,23 +99,26 @@ def search_hits(
     ignore_case: bool = False,
     limit: int | None = None,
     budget: int = SCAN_BUDGET,
+    raw: bool = False,
 ) -> DataFrame:
     """Matching events, newest session first, until the row cap or the character budget ends the list.
 
     ``limit`` 0 gives every hit. A hit costs the length of its printed row.
+    ``raw`` adds the source lines and lifts the budget.
     """
+    lines = ["line"] if raw else []
     found = find(events, pattern, fixed, ignore_case).select(
         KEY,
         "seq",
         "block",
         "role",
-        "line",
+        *lines,
         preview(F.col("text")).alias("preview"),
         short_id(F.col("provider"), F.col("session_id")).alias("short_id"),
     )
     row = F.concat_ws("\t", "short_id", event_number(F.col("seq")), "role", F.concat(F.lit('"'), "preview", F.lit('"')))
-    capped = first_in_scope(found, sessions, F.length(row) + 1, 0 if limit == 0 else budget, limit)
-    return capped.select("session_id", "short_id", "started", "seq", "block", "role", "preview", "line")
+    capped = first_in_scope(found, sessions, F.length(row) + 1, 0 if limit == 0 or raw else budget, limit)
+    return capped.select("session_id", "short_id", "started", "seq", "block", "role", "preview", *lines)
 
 
 def search_context(
@@ -137,13 +140,16 @@ def search_context(
     # No window is cheaper than this, so the hits kept here hold all that fit.
     near = first_in_scope(found, sessions, F.lit(_LEAST_WINDOW), budget, limit)
     hits = near.select(
-        KEY, "started", F.col("seq").alias("hit_seq"), F.col("block").alias("hit_block"), F.col("pos").alias("hit_pos")
+        KEY, "session_id", "started", F.col("seq").alias("hit_seq"), F.col("block").alias("hit_block"), F.col("pos").alias("hit_pos")
     )
     around = hits.withColumn(
         "pos",
         F.explode(F.sequence(F.greatest(F.col("hit_pos") - context, F.lit(1)), F.col("hit_pos") + context)),
     )
-    shown = around.join(events, [KEY, "pos"]).select(
+    most = _most(budget // _LEAST_WINDOW + 1 if budget else 0, limit)
+    if most is not None and most * (2 * context + 1) <= BROADCAST_ROWS:
+        around = F.broadcast(around)
+    shown = events.drop("session_id").join(around, [KEY, "pos"]).select(
         KEY,
         "session_id",
         "started",
@@ -183,13 +189,15 @@ def first_in_scope(
 
     Costs are summed per slab first. As a row costs at least one character, the
     slabs that can hold kept rows number at most the budget (or the cap), and
-    the rows left for the single last window at most that plus one slab.
+    the rows left for the single last window at most that plus one slab. The
+    rows found are kept, so that the texts are searched once.
     """
-    tagged = found.withColumns({"_cost": cost.cast("bigint"), "_slab": slab_of("seq")})
+    found = kept(found.withColumn("_cost", cost.cast("bigint")), "found")
+    tagged = found.withColumn("_slab", slab_of("seq"))
     info = sessions.select(KEY, "session_id", "started")
     most = _most(budget, limit)
     if most is None:
-        return attach(found.drop("session_id", "started"), info, KEY, slab_of("seq"))
+        return attach(found.drop("session_id", "started", "_cost"), info, KEY, slab_of("seq"))
     sizes = tagged.groupBy(KEY, "_slab").agg(F.sum("_cost").alias("_chars"), F.count(F.lit(1)).alias("_rows"))
     order = [F.desc("started"), F.desc("session_id"), F.desc(KEY), F.asc("_slab")]
     near = sizes.join(info, KEY).orderBy(*order).limit(most)

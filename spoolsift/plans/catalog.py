@@ -65,25 +65,25 @@ def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every matching turn with its preview."""
     events, sessions = _chats(spark, sf_dir)
-    return search.search_hits(events, sessions, WORD, limit=0).drop("line", "block")
+    return search.search_hits(events, sessions, WORD, limit=0).drop("block")
 
 
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that hold a fixed text in exactly this case."""
     events, sessions = _chats(spark, sf_dir)
-    return search.search_hits(events, sessions, "The ", fixed=True, limit=0).drop("line", "block")
+    return search.search_hits(events, sessions, "The ", fixed=True, limit=0).drop("block")
 
 
 def search_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching turns until 40,000 characters are printed."""
     events, sessions = _chats(spark, sf_dir)
-    return search.search_hits(events, sessions, "the", fixed=True).drop("line", "block")
+    return search.search_hits(events, sessions, "the", fixed=True).drop("block")
 
 
 def search_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 25 matching turns."""
     events, sessions = _chats(spark, sf_dir)
-    return search.search_hits(events, sessions, "the", fixed=True, limit=25).drop("line", "block")
+    return search.search_hits(events, sessions, "the", fixed=True, limit=25).drop("block")
 
 
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ def skill_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counts of a session in long form."""
-    lines = tables.activity_lines_claude(prepare(spark), sf_dir)
+    lines = kept(tables.activity_lines_claude(prepare(spark), sf_dir), "lines")
     events = claude.claude_events(lines)
     sessions = claude.claude_sessions(lines)
     stats = views.session_stats(events, sessions, claude.attribution(lines))

@@ -7,6 +7,7 @@ from spoolsift.functions.values import first_truthy, get, text_at
 from spoolsift.model import slab_of
 from spoolsift.operators.slabs import attach
 from spoolsift.sources.lines import any_path, read_lines, readable
+from spoolsift.sources.store import small
 
 
 def read_sessions(spark: SparkSession, root: str, cwd: str | None = None) -> DataFrame:
@@ -23,7 +24,10 @@ def in_scope(lines: DataFrame, cwd: str | None = None) -> DataFrame:
     if cwd is not None:
         heads = heads.where(F.col("cwd") == cwd)
     named = heads.select("path", "session_id", F.col("cwd").alias("project"))
-    return attach(lines.drop("provider", "project", "session_id"), named, "path", slab_of("seq")).select(
+    named, fits = small(named, "heads")
+    rest = lines.drop("provider", "project", "session_id")
+    kept_lines = rest.join(named, "path") if fits else attach(rest, named, "path", slab_of("seq"))
+    return kept_lines.select(
         F.lit("codex").alias("provider"), "project", "session_id", "path", "seq", "line", "size_bytes"
     )
 

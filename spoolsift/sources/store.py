@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Narrow rows up to this number are broadcast; more take another way.
+BROADCAST_ROWS = 100_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -31,6 +35,13 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def small(df: DataFrame, name: str = "small") -> tuple[DataFrame, bool]:
+    """The kept table, and whether it has few enough rows to be broadcast; then it is marked for it."""
+    table = kept(df, name)
+    fits = table.count() <= BROADCAST_ROWS
+    return (F.broadcast(table), True) if fits else (table, False)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A scan with fewer splits than the cluster has cores, dealt out to all of them before costly work."""
     cores = table.sparkSession.sparkContext.defaultParallelism
@@ -44,6 +55,9 @@ def write_events(events: DataFrame, path: str) -> None:
     and keep row groups narrow in path and number, so that reading one session,
     or a slice of it, skips the rest.
     """
+    # Not nullable, else the writer changes the columns and sorts again by them alone.
+    for name in ("provider", "project"):
+        events = events.withColumn(name, F.coalesce(name, F.lit("")))
     columns = ["provider", "project", "path", "seq", "block"]
     placed = events.repartitionByRange(*columns).sortWithinPartitions(*columns)
     placed.write.partitionBy("provider", "project").parquet(path)

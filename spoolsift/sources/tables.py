@@ -286,7 +286,6 @@ def activity_lines_codex(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sid = F.col("user_id").cast("string")
     cwd = F.concat(F.lit("/w/"), (F.col("user_id") % 5).cast("string"))
-    body = _as_lines(rows, "codex", cwd, sid, F.col("seq") + 1, line)
     head = F.to_json(
         F.struct(
             F.col("stamp").alias("timestamp"),
@@ -300,8 +299,11 @@ def activity_lines_codex(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("payload"),
         )
     )
-    first = rows.where("seq = 1")
-    return body.unionByName(_as_lines(first, "codex", cwd, sid, F.lit(1), head))
+    own = F.struct((F.col("seq") + 1).alias("at"), line.alias("line"))
+    described = F.array(F.struct(F.lit(1).cast("bigint").alias("at"), head.alias("line")), own)
+    made = rows.withColumn("made", F.when(F.col("seq") == 1, described).otherwise(F.array(own)))
+    made = made.select("user_id", F.explode_outer("made").alias("made"))
+    return _as_lines(made, "codex", cwd, sid, F.col("made.at"), F.col("made.line"))
 
 
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,12 @@ def test_caps_over_slabs(corpus, small_slabs, limit, budget):
     assert sorted(tuple(r) for r in got.select("session_id", "seq").collect()) == sorted(expected)
 
 
+def test_raw_hits_carry_lines_and_ignore_the_budget(corpus):
+    events, sessions, ordered, _ = corpus
+    got = search.search_hits(events, sessions, "needle", budget=1, raw=True).collect()
+    assert len(got) == len(ordered) and {r["line"] for r in got} == {f"line {o[1]}" for o in ordered}
+
+
 def test_table(corpus):
     events, sessions, ordered, _ = corpus
     now = datetime(2026, 1, 1)
