@@ -33,7 +33,7 @@ def line_findings(
 
     Lines that are not UTF-8 or not JSON are left alone.
     """
-    scanned = F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates) & is_json(F.col("line"))
+    scanned = F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates, json_line=True) & is_json(F.col("line"))
     values = F.when(scanned, string_values(F.col("line")))
     return lines.withColumn("findings", find_secrets(values, rules, candidates, windows, by_value))
 
@@ -42,7 +42,7 @@ def line_audit_rows(
     lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, candidates: bool = False, windows: bool = False
 ) -> DataFrame:
     """One row per finding in the lines, ready for :func:`spoolsift.operators.detect.audit`."""
-    hot = lines.where(F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates))
+    hot = lines.where(F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates, json_line=True))
     scanned = line_findings(hot, rules, candidates, windows)
     found = each(scanned.select("session_id", "path", "seq", F.col("findings").alias("f")), "f")
     return found.select(
