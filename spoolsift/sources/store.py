@@ -6,6 +6,7 @@ kept as parquet; searches and views then read only the columns they need.
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ BROADCAST_ROWS = 100_000
 
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; a local one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spoolsift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"spoolsift-{application}-")
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
