@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.llm import counts, packing, tokenfiles
+from spoolsift.llm import counts, decontamination, packing, quality, tokenfiles
 
 
 def vocabulary(name: str) -> str:
@@ -19,12 +19,36 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.contamination(_documents(spark, sf_dir), items)
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        *("doc_id", "n_words", "n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write_token_files(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0)
     read = tokenfiles.read_token_files(files)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.repetition(_documents(spark, sf_dir).select("doc_id", "text"))
+    judged = judged.select("doc_id", "kept", "repetition.*")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select(
+        *("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        failed.alias("base_failed"),
+        (~failed & F.col("kept")).alias("kept"),
+        *(name for name in quality.RUNS),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     counted = counts.token_counts(docs, vocabulary("piece_bpe_32k.model"))
@@ -38,7 +62,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_decontamination,
         op4_token_files,
+        op6_quality_rules,
         op8_token_counts,
         op9_packing,
     )
