@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.llm import counts, decontamination, packing, quality, tokenfiles
+from spoolsift.llm import counts, decontamination, packing, quality, substrings, tokenfiles
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write_token_files(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0)
     read = tokenfiles.read_token_files(files)
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_decontamination,
+        op3_substring_dedup,
         op4_token_files,
         op6_quality_rules,
         op8_token_counts,

@@ -1,11 +1,13 @@
 """Small things that several operators need: written tables in the shared folder, keys of rows, and sizes."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolsift.sources.store import kept, work_folder
 
-__all__ = ["equal", "kept", "parts_by_size", "text_key", "work_folder"]
+__all__ = ["Scratch", "kept", "parts_by_size", "text_key", "work_folder"]
 
 BYTES_A_PART = 64 << 20
 
@@ -15,12 +17,22 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def equal(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Join condition on columns of the same name that also matches nulls."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+class Scratch:
+    """Intermediate tables of one job in the shared folder; those that nothing lazy still reads can be dropped early."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts_by_size(df: DataFrame, bytes_each: int = BYTES_A_PART) -> int:
