@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.llm import counts, decontamination, packing, quality, substrings, tokenfiles
+from spoolsift.llm import counts, decontamination, minhash, packing, quality, substrings, tokenfiles
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +41,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_documents(spark, sf_dir), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.repetition(_documents(spark, sf_dir).select("doc_id", "text"))
     judged = judged.select("doc_id", "kept", "repetition.*")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op3_substring_dedup,
         op4_token_files,
+        op5_minhash_dedup,
         op6_quality_rules,
         op8_token_counts,
         op9_packing,
