@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.llm import counts, decontamination, minhash, packing, quality, substrings, tokenfiles
+from spoolsift.llm import counts, decontamination, minhash, packing, quality, substrings, tokenfiles, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -58,6 +58,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# From this score on a document counts as toxic.
+TOXIC_FROM = 0.3
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        (~toxicity.training_rows(F.col("doc_id"))).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     counted = counts.token_counts(docs, vocabulary("piece_bpe_32k.model"))
@@ -76,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_files,
         op5_minhash_dedup,
         op6_quality_rules,
+        op7_toxicity,
         op8_token_counts,
         op9_packing,
     )
