@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.llm import counts, decontamination, minhash, packing, quality, substrings, tokenfiles, toxicity
+from spoolsift.llm import counts, decontamination, minhash, packing, quality, substrings, tokenfiles, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -84,6 +84,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+    read = warc.read_archives(warc.normalise_archives(archives))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_toxicity,
         op8_token_counts,
         op9_packing,
+        op10_warc,
     )
 }
 
