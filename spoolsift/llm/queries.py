@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.llm import counts, decontamination, minhash, packing, quality, substrings, tokenfiles, toxicity, warc
+from spoolsift.llm import counts, decontamination, licenses, minhash, packing, quality, substrings, tokenfiles, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,25 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(_documents(spark, sf_dir))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    return found.select(
+        *("doc_id", "n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.contamination(_documents(spark, sf_dir), items)
@@ -93,6 +112,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_decontamination,
         op3_substring_dedup,
         op4_token_files,
@@ -105,4 +125,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+def _license_sql() -> str:
+    """The same places without an index: every place of every phrase."""
+    rows = ",\n".join(
+        f"('{t.label}', {str(t.base).upper()}, string_split('{t.text}', ' '), string_split('{t.phrase}', ' '), {t.text.split().index(t.phrase.split()[0]) if t.text.startswith(t.phrase) else len(t.text[: t.text.index(t.phrase)].split())})"
+        for t in licenses.TEMPLATES
+    )
+    return rf"""
+WITH template(label, base, tpl, phrase, offset_) AS (VALUES {rows}),
+split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), candidate AS (
+  SELECT doc_id, w, label, base, tpl, phrase, offset_, unnest(range(len(w) - len(phrase) + 1)) AS s
+  FROM split JOIN template ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(phrase, ' ') || ' ')
+), verified AS (SELECT * FROM candidate WHERE w[s + 1 : s + len(phrase)] = phrase),
+words_in_place AS (
+  SELECT doc_id, label, base, s, len(tpl) AS n, unnest(tpl) AS t, unnest(range(len(tpl))) + s - offset_ AS p, w FROM verified
+), place AS (
+  SELECT doc_id, label, base, s, CASE WHEN base THEN 1.0 ELSE
+    CAST(sum(CASE WHEN p >= 0 AND p < len(w) AND w[p + 1] = t THEN 1 ELSE 0 END) AS DOUBLE) / max(n) END AS share
+  FROM words_in_place GROUP BY doc_id, label, base, s, n
+), accepted AS (SELECT * FROM place WHERE base OR share >= {licenses.LEAST_SHARE}),
+found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM accepted GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM split LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_sql()}
