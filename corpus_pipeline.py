@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near ones, that with the smallest doc_id; of equal rows one."""
     found = minhash.near_duplicates(docs, percent=NEAR)
-    return _without(docs, found.where(~F.col("kept"))).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    return _without(docs, found.where(~F.col("kept"))).dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of which less than a twentieth of the words stand in benchmark windows."""
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return _without(docs, bad).select(*docs.columns)
+    return _without(docs, bad).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` with the hash of the text (_hash), less the rows that ``gone`` names by doc_id and _key."""
-    gone = gone.select(F.col("doc_id").alias("_id"), "_key").distinct()
-    keyed = docs.withColumn("_hash", text_key())
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_hash"] == gone["_key"]), "left_anti")
+    """Rows of ``docs`` (id, hash of the text, and the row as a struct, whatever its columns) less those that ``gone`` names."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("_key").alias("gone_key")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("hash"), F.struct("*").alias("row"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_key")), "left_anti")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -236,17 +236,20 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
     A text that loses nothing, null or empty ones too, stays as it is. Else the white space before a word goes with it.
     """
     found = repeats(docs, text, window).where(F.col("n_removed") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), "_key", "spans", (F.col("n_removed") == F.col("n_words")).alias("_all"))
-    found = found.dropDuplicates(["_id", "_key"])
+    whole = F.col("n_removed") == F.col("n_words")
+    found = found.select(F.col("doc_id").alias("cut_id"), F.col("_key").alias("cut_key"), "spans", whole.alias("whole"))
+    found = found.dropDuplicates(["cut_id", "cut_key"])
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_outside(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    keyed = docs.withColumn("_hash", text_key(text))
-    joined = keyed.join(found, (keyed["doc_id"].cast("long") == found["_id"]) & (keyed["_hash"] == found["_key"]), "left")
-    rest = joined.where(~F.coalesce("_all", F.lit(False)))
-    shorter = F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.pandas_udf(cut, "string")(F.col(text), F.col("spans")))
-    return rest.withColumn(text, shorter).select(*docs.columns)
+    # The row as a struct, so that none of its columns is mistaken for another.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(text).alias("hash"), F.struct("*").alias("row"))
+    joined = rows.join(found, (F.col("id") == F.col("cut_id")) & (F.col("hash") == F.col("cut_key")), "left")
+    rest = joined.where(~F.coalesce("whole", F.lit(False)))
+    body = F.col("row").getField(text)
+    shorter = F.when(F.col("spans").isNull(), body).otherwise(F.pandas_udf(cut, "string")(body, F.col("spans")))
+    return rest.select(F.col("row").withField(text, shorter).alias("row")).select("row.*")
 
 
 def _outside(text: str | None, spans) -> str | None:
