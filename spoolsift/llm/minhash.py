@@ -201,12 +201,15 @@ def near_duplicates(
     alone = alone.groupBy("shingle").agg(F.count("*").alias("many"), F.min("node").alias("node")).where(F.col("many") == 1)
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     most = rooted.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    most = scratch.keep(most.where(100 * F.col("most") >= percent * F.col("n")), "possible")
-    left = most.where(F.col("root") != F.col("main")).select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "most")))
+    most = most.where(100 * F.col("most") >= percent * F.col("n")).join(nodes.select("node", "bands"), "node")
+    most = scratch.keep(most, "possible")
+    left = most.where(F.col("root") != F.col("main")).select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "most", "bands")))
     bound = _linked(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"), percent)
     # A pair of two leftovers would come up twice.
-    right = most.select("band", F.col("main").alias("main_b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "most")))
+    right = most.select("band", F.col("main").alias("main_b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "most", "bands")))
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
+    # Of the buckets that both are in, one gives the pair.
+    once = once & (F.array_min(F.array_intersect("bands_a", "bands_b")) == left["band"])
     rest = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & bound & once)
     rest = rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.lit(1).alias("_one")).drop("_one")
     more = verified(rest, sets, percent)
