@@ -1,8 +1,10 @@
 """Smart-case patterns: checked on the driver, run by Spark's own regex engine.
 
 Patterns are written the way Python's ``re`` reads them. The few spellings the
-JVM reads differently are rewritten; what cannot be rewritten runs in an Arrow
-UDF, so the outcome never depends on the engine.
+JVM reads differently are rewritten. Python itself searches, in Arrow batches,
+where the JVM would not do the same: patterns that cannot be rewritten, those
+that repeat a group the JVM would descend into once per repetition, and, for patterns
+with classes that differ beyond ASCII, the texts with such characters.
 """
 
 import re
@@ -75,17 +77,37 @@ def to_jvm(pattern: str) -> str | None:
     return "".join(out)
 
 
+# Escapes and classes stand for one character each; a group that repeats without end, or 50 times and more.
+_SINGLE = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.S)
+_REPEATED_GROUP = re.compile(r"\)(?:[*+]|\{\d*,\}|\{(?:\d*,)?(?:[5-9]\d|\d{3,})\})")
+
+
+def descends(pattern: str) -> bool:
+    """Does it repeat a group, often or without end? The JVM's stack grows with each repetition."""
+    return _REPEATED_GROUP.search(_SINGLE.sub("x", pattern)) is not None
+
+
+def differs(pattern: str) -> bool:
+    """Has it classes, or letters whose case counts, that both engines read alike for ASCII texts only?"""
+    return bool(re.search(r"\\[wWsSbBdD]", pattern)) or not pattern.isascii() or "(?" in pattern
+
+
 def matches(text: Column, pattern: str, fixed: bool = False, ignore_case: bool = False) -> Column:
     """Does the text hold the pattern? Case is ignored unless the pattern has capitals."""
     check(pattern, fixed)
     loose = ignores_case(pattern, ignore_case)
     if fixed:
         return F.contains(F.lower(text), F.lit(pattern.lower())) if loose else F.contains(text, F.lit(pattern))
-    jvm = to_jvm(pattern)
+    jvm = None if descends(pattern) else to_jvm(pattern)
     if jvm is None:
         return _python_search(pattern, loose)(text)
     # U: Unicode classes and case, d: only \n ends a line, both as in Python.
-    return F.rlike(text, F.lit(("(?idU)" if loose else "(?dU)") + jvm))
+    plain = F.rlike(text, F.lit(("(?idU)" if loose else "(?dU)") + jvm))
+    if not (loose or differs(pattern)):
+        return plain
+    # Python takes the separators from 1C to 1F for white space too.
+    other = F.rlike(text, F.lit(r"[^\x00-\x1B\x20-\x7F]"))
+    return F.when(other, _python_search(pattern, loose)(F.when(other, text))).otherwise(plain)
 
 
 def _python_search(pattern: str, loose: bool):

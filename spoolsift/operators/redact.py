@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoolsift.functions.secrets import fingerprint, marker
+from spoolsift.model import slab_of
 from spoolsift.operators.detect import each, find_secrets, worth_scanning
 from spoolsift.operators.rules import OWN_RULES, RuleSet
 from spoolsift.sources.lines import is_json
-from spoolsift.sources.store import small
 
 # A JSON string, taken as a whole so that no match can start inside one, and the colon that makes it a key.
 _LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
@@ -26,7 +26,6 @@ def line_findings(
     lines: DataFrame,
     rules: RuleSet = OWN_RULES,
     candidates: bool = False,
-    windows: bool = False,
     by_value: bool = False,
 ) -> DataFrame:
     """Add ``findings`` over all string values of a line; NULL for lines that are not scanned.
@@ -35,29 +34,29 @@ def line_findings(
     """
     scanned = F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates, json_line=True) & is_json(F.col("line"))
     values = F.when(scanned, string_values(F.col("line")))
-    return lines.withColumn("findings", find_secrets(values, rules, candidates, windows, by_value))
+    return lines.withColumn("findings", find_secrets(values, rules, candidates, by_value))
 
 
 def line_audit_rows(
-    lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, candidates: bool = False, windows: bool = False
+    lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, candidates: bool = False
 ) -> DataFrame:
     """One row per finding in the lines, ready for :func:`spoolsift.operators.detect.audit`."""
     hot = lines.where(F.is_valid_utf8("line") & worth_scanning(F.col("line"), rules, candidates, json_line=True))
-    scanned = line_findings(hot, rules, candidates, windows)
+    scanned = line_findings(hot, rules, candidates)
     found = each(scanned.select("session_id", "path", "seq", F.col("findings").alias("f")), "f")
     return found.select(
         "session_id", "path", "seq", "f.kind", "f.severity", fingerprint(F.col("f.value"), salt).alias("fp")
     )
 
 
-def redact_lines(lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, windows: bool = False) -> DataFrame:
+def redact_lines(lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES) -> DataFrame:
     """Lines with every certain or probable secret replaced by its marker.
 
     Adds ``replacements`` and ``kinds`` (one entry per distinct value replaced).
     A line that would no longer be JSON, and any line without findings, stays
     as it is, byte for byte. Row order within a partition is kept.
     """
-    scanned = line_findings(lines, rules, windows=windows, by_value=True)
+    scanned = line_findings(lines, rules, by_value=True)
     marked = F.transform(
         "findings", lambda f: F.struct(f["value"], f["kind"], marker(f["kind"], f["value"], salt).alias("mark"))
     )
@@ -92,8 +91,14 @@ def redact_lines(lines: DataFrame, salt: str, rules: RuleSet = OWN_RULES, window
 
 def without_live(lines: DataFrame, live: DataFrame) -> DataFrame:
     """Lines of sessions that are no longer written; ``live`` holds ``project, session_id`` of the others."""
-    writing, _ = small(live.select("project", "session_id").distinct(), "live")
-    return lines.join(writing, ["project", "session_id"], "left_anti")
+    # By slab too, so that a long session's lines do not meet in one task.
+    writing = live.select(*(F.col(c).alias(f"_{c}") for c in ("project", "session_id"))).distinct()
+    tagged = lines.withColumn("_slab", slab_of("seq"))
+    slabs = tagged.select("project", "session_id", "_slab").distinct().withColumnRenamed("_slab", "_live_slab")
+    same = F.col("project").eqNullSafe(F.col("_project")) & F.col("session_id").eqNullSafe(F.col("_session_id"))
+    spread = slabs.join(writing, same, "left_semi")
+    spread = spread.select(F.col("project").alias("_project"), F.col("session_id").alias("_session_id"), "_live_slab")
+    return tagged.join(spread, same & (F.col("_slab") == F.col("_live_slab")), "left_anti").drop("_slab")
 
 
 def redaction_report(redacted: DataFrame) -> DataFrame:

@@ -13,6 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, nulls equal each other; the keys come once, from the left."""
+    named = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & left[k].eqNullSafe(named[f"_right_{i}"])
+    return left.join(named, condition, how).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,11 +47,11 @@ def running(
         before = Window.orderBy(by) if not parents else Window.partitionBy(*parents).orderBy(by)
         before = before.rowsBetween(Window.unboundedPreceding, -1)
         level = level.select(*keys, *names[:depth], F.coalesce(F.sum("_amount").over(before), F.lit(0)).alias(f"_before{depth}"))
-        start = level if start is None else start.join(level, [*keys, *names[:depth]])
+        start = level if start is None else null_safe(start, level, [*keys, *names[:depth]])
     offset = sum((F.col(f"_before{d}") for d in range(2, len(names) + 1)), F.col("_before1"))
     start = start.select(*keys, *names, offset.alias("_from"))
     inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = tagged.join(start, [*keys, *names])
+    joined = null_safe(tagged, start, [*keys, *names])
     return joined.withColumn(out, F.col("_from") + F.sum(amount).over(inside)).select(*df.columns, out)
 
 
@@ -65,7 +74,7 @@ def whole_group(
     parts = used.groupBy(*keys, "_slab").agg(*[expr.alias(name) for name, expr in partial.items()])
     group = Window.partitionBy(*keys)
     whole = parts.select(*keys, "_slab", *[expr.over(group).alias(name) for name, expr in combine.items()])
-    joined = tagged.join(whole, [*keys, "_slab"], "inner" if only is None else "left")
+    joined = null_safe(tagged, whole, [*keys, "_slab"], "inner" if only is None else "left")
     return joined.select(*df.columns, *combine)
 
 
@@ -73,8 +82,8 @@ def attach(rows: DataFrame, info: DataFrame, key: str, slab: Column, how: str =
     """Join one-row-per-key ``info`` to ``rows`` by (key, slab) instead of by key."""
     tagged = rows.withColumn("_slab", slab)
     present = tagged.groupBy(key, "_slab").agg(F.lit(1).alias("_one")).drop("_one")
-    spread = present.join(info, key)
-    return tagged.join(spread, [key, "_slab"], how).drop("_slab")
+    spread = null_safe(present, info, [key])
+    return null_safe(tagged, spread, [key, "_slab"], how).drop("_slab")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

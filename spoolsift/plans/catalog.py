@@ -205,8 +205,7 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = kept(tables.activity_lines_claude(prepare(spark), sf_dir), "lines")
     events = claude.claude_events(lines)
     sessions = claude.claude_sessions(lines)
-    stats = views.session_stats(events, sessions, claude.attribution(lines))
-    return stats.where(F.col("field") != "size")  # the size of JSON text differs between engines
+    return views.session_stats(events, sessions, claude.attribution(lines))
 
 
 def errors_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,9 +295,11 @@ s AS (SELECT session_id, min(ts) AS started, max(ts) AS ended,
     CAST(count(*) AS VARCHAR) AS messages, CAST(count(*) FILTER (WHERE is_error) AS VARCHAR) AS errors,
     CAST(coalesce(sum(k) FILTER (WHERE role = 'asst'), 0) AS VARCHAR) AS tokens,
     coalesce('branch-' || any_value(CAST(session_id AS BIGINT) % 4) FILTER (WHERE role = 'user'), '') AS git_branch,
+    CAST(max(strlen(text)) AS VARCHAR) AS size,
     CAST(count(*) FILTER (WHERE tag = 'meta') AS VARCHAR) AS text_meta FROM u GROUP BY session_id)""",
         """SELECT session_id, 'provider' AS field, 'claude' AS value FROM s
     UNION ALL SELECT session_id, 'session', session_id FROM s UNION ALL SELECT session_id, 'file', session_id FROM s
+    UNION ALL SELECT session_id, 'size', size FROM s
     UNION ALL SELECT session_id, 'started', started FROM s UNION ALL SELECT session_id, 'ended', ended FROM s
     UNION ALL SELECT session_id, 'model', model FROM s UNION ALL SELECT session_id, 'messages', messages FROM s
     UNION ALL SELECT session_id, 'errors', errors FROM s UNION ALL SELECT session_id, 'tokens', tokens FROM s

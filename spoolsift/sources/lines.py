@@ -49,20 +49,36 @@ def any_path(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-# No limit on the length of one string; the parser's own default is 20 million characters.
-JSON_OPTIONS = {"maxStringLen": "1000000000"}
+# Strings of any length, the longest numbers, and only JSON's own spelling.
+JSON_OPTIONS = {"maxStringLen": "1000000000", "maxNumLen": "1000000", "allowSingleQuotes": "false"}
+
+# Fixed value: white space as Python strips it.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+# A field that is read behind the line's value: the parser gets there only if the value is one, and all of the line.
+_END = "end-of-line-4f1c9a72"
+
+
+def _read(line: Column, fields: str) -> Column:
+    """The line as field ``rec`` of an outer record, which is sound only with the end mark behind it."""
+    outer = F.concat(F.lit('{"rec":'), line, F.lit(f',"_end":"{_END}"}}'))
+    return F.from_json(outer, f"{fields}_end string, _corrupt_record string", JSON_OPTIONS)
+
+
+def _whole(read: Column) -> Column:
+    return F.coalesce(read["_corrupt_record"].isNull() & (read["_end"] == _END), F.lit(False))
 
 
 def parsed(lines: DataFrame, fields: str) -> DataFrame:
     """Lines with the given fields as ``rec``, which is NULL where a line holds no JSON object.
 
-    Declare fields as strings or variants, so that no value can be of a wrong
-    type. Bytes that are not UTF-8 become replacement characters first.
+    White space around the object is as Python's; nothing else may stand on the line. Declare fields as strings or
+    variants, so that no value can be of a wrong type. Bytes that are not UTF-8 become replacement characters first.
     """
-    read = F.from_json(F.make_valid_utf8("line"), f"{fields}, _corrupt_record string", JSON_OPTIONS)
+    read = _read(F.trim(F.make_valid_utf8("line"), F.lit(WHITE_SPACE)), f"rec struct<{fields}>, ")
     record = F.col("_record")
-    sound = _braced(F.col("line")) & record.isNotNull() & record["_corrupt_record"].isNull()
-    return lines.withColumn("_record", read).withColumn("rec", F.when(sound, record)).drop("_record")
+    sound = _braced(F.trim("line", F.lit(WHITE_SPACE))) & _whole(record)
+    return lines.withColumn("_record", read).withColumn("rec", F.when(sound, record["rec"])).drop("_record")
 
 
 def readable(lines: DataFrame, fields: str) -> DataFrame:
@@ -73,19 +89,18 @@ def readable(lines: DataFrame, fields: str) -> DataFrame:
 
 
 def is_json(line: Column) -> Column:
-    """Does the line hold a JSON object? Values are skipped, so their size does not matter."""
-    read = F.from_json(line, "_nothing string, _corrupt_record string")
-    return _braced(line) & read.isNotNull() & read["_corrupt_record"].isNull()
+    """Is the line, but for white space around it, one JSON object? Values are skipped, so their size does not matter."""
+    bare = F.trim(line, F.lit(WHITE_SPACE))
+    return _braced(bare) & _whole(_read(bare, ""))
 
 
-def _braced(line: Column) -> Column:
-    blanks = F.lit(" \t\r\n")
-    return F.startswith(F.ltrim(line, blanks), F.lit("{")) & F.endswith(F.rtrim(line, blanks), F.lit("}"))
+def _braced(bare: Column) -> Column:
+    return F.coalesce(F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}")), F.lit(False))
 
 
 def line_report(lines: DataFrame) -> DataFrame:
     """Per file: lines, blank lines and lines that hold no readable JSON object."""
-    blank = F.trim(F.regexp_replace("line", r"\s+", "")) == ""
+    blank = F.trim("line", F.lit(WHITE_SPACE)) == ""
     sound = is_json(F.make_valid_utf8("line"))
     return lines.groupBy("path").agg(
         F.count(F.lit(1)).alias("lines"),

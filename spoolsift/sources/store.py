@@ -4,6 +4,8 @@ Parsing is the dear part of every job, so lines are parsed once and the events
 kept as parquet; searches and views then read only the columns they need.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -16,13 +18,20 @@ BROADCAST_ROWS = 100_000
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark.sparkContext.applicationId)
+    """The shared folder for intermediate tables. Only a session on one machine may do without: it gets a folder there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 @cache
 def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"spoolsift-{application}-")
+    folder = tempfile.mkdtemp(prefix=f"spoolsift-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:

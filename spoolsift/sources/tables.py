@@ -139,7 +139,8 @@ def _as_lines(df: DataFrame, provider: str, project: Column, sid: Column, seq: C
         sid.alias(KEY),
         seq.cast("bigint").alias("seq"),
         line.alias("line"),
-        F.length(line).cast("bigint").alias("size_bytes"),
+        # By the text, as engines write JSON with other spacing.
+        F.octet_length("text").cast("bigint").alias("size_bytes"),
     )
 
 

@@ -140,3 +140,21 @@ def test_context_windows(corpus, small_slabs, budget):
         shown += [(sid, seq, m[1]) for m in near]
     assert sorted(tuple(r) for r in got.select("session_id", "hit_seq", "seq").collect()) == sorted(shown)
     assert got.where("is_hit AND seq <> hit_seq").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("pattern", "end"), [(r"(?:a|b| )+c", "c"), (r"(a|b|\s)*$", ""), (r"(\w+\s?)+END", "END"), (r"(?:ab?)+x|END", "END")]
+)
+def test_long_texts_do_not_exhaust_the_stack(spark, pattern, end):
+    texts = spark.range(1).select(F.concat(F.repeat(F.lit("ab "), 350_000), F.lit(end)).alias("text"))
+    assert texts.where(matches(F.col("text"), pattern)).count() == 1
+
+
+@pytest.mark.parametrize("pattern", [r"\w", r"\W", r"\s", r"\S", r"\d", r"x\b", r"x\B", r"^\w$", r"\bx", "k", "ß", r"[\w-]+x"])
+def test_classes_are_those_of_python_over_all_code_points(spark, pattern):
+    points = [*range(0xD800), *range(0xE000, 0x30000)]
+    text = F.concat(F.lit("x"), F.col("text")) if "x" in pattern else F.col("text")
+    table = spark.createDataFrame([(i, chr(i)) for i in points], "i int, text string")
+    found = {r[0] for r in table.where(matches(text, pattern)).select("i").collect()}
+    needle = re.compile(pattern, re.I if pattern == pattern.lower() else 0)
+    assert found == {i for i in points if needle.search(("x" if "x" in pattern else "") + chr(i))}
