@@ -10,6 +10,7 @@ from spoolsift.operators import claude, codex, detect, redact, scope, search, vi
 from spoolsift.operators.events import pair_tools, ready_events
 from spoolsift.session import prepare
 from spoolsift.sources import codex as codex_source
+from spoolsift.sources import lines as line_source
 from spoolsift.sources import tables
 from spoolsift.sources.store import kept
 
@@ -56,6 +57,17 @@ def search_table_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_table(events, sessions, "entre", NOW, include_all=True, sort="started")
 
 
+def search_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that repeats a group without end, and so is Python's."""
+    events, sessions = _chats(spark, sf_dir)
+    return search.search_table(events, sessions, r"(?:th|an|er)+ing\b", NOW)
+
+
+def line_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each file that are blank or hold no record."""
+    return line_source.line_report(tables.uneven_lines(prepare(spark), sf_dir))
+
+
 def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches and matching sessions before any cap."""
     events, sessions = _chats(spark, sf_dir)
@@ -349,6 +361,8 @@ QUERIES: dict[str, Query] = {
     for query in (
         search_table,
         search_table_all,
+        search_repeated,
+        line_report,
         search_totals,
         search_hits,
         search_literal,

@@ -180,6 +180,15 @@ ORACLES: dict[str, str] = {
     coalesce(first, 0) AS first, {_TABLE} FROM cs LEFT JOIN (SELECT session_id, count(*) AS matches, min(seq) AS first
       FROM c WHERE regexp_matches(text, '(?i)entre') GROUP BY ALL) USING (session_id)""",
     ),
+    "search_repeated": _with(
+        CHATS,
+        f"""SELECT session_id, left(session_id, 8) AS short_id, matches, first, {_TABLE} FROM cs JOIN
+    (SELECT session_id, count(*) AS matches, min(seq) AS first FROM c
+      WHERE regexp_matches(text, '(?i)(th|an|er)+ing([^0-9a-z_à-öø-ÿ]|$)') GROUP BY ALL) USING (session_id)""",
+    ),
+    "line_report": """SELECT CAST(conv_id AS VARCHAR) AS path, count(*) AS lines,
+    count(*) FILTER (WHERE (conv_id + turn) % 8 = 0) AS blank,
+    count(*) FILTER (WHERE (conv_id + turn) % 8 BETWEEN 1 AND 4) AS unreadable FROM conversations GROUP BY conv_id""",
     "search_totals": _with(
         CHATS,
         """SELECT count(*) AS matches, count(DISTINCT session_id) AS sessions_matched,

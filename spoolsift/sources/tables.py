@@ -131,6 +131,28 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_lines(turns, "claude", F.lit("chats"), F.col("conv_id").cast("string"), F.col("turn") + 1, line)
 
 
+def uneven_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of which some are blank, some no single JSON object, and some sound but for what is around them."""
+    turns = _table(spark, sf_dir, "conversations")
+    sound = F.to_json(F.struct(F.lit("user").alias("type"), F.coalesce("text", F.lit("")).alias("content")))
+    forms = (
+        F.lit(" \t "),
+        F.concat(sound, sound),
+        F.concat(sound, F.lit(" junk }")),
+        F.lit("{'type': 'user'}"),
+        F.concat(sound, F.lit(", "), sound),
+        F.concat(sound, F.lit("\x0b")),
+        F.concat(F.lit("\u2003"), sound, F.lit("\x1c")),
+        sound,
+    )
+    form = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(forms)))
+    return turns.select(
+        F.col("conv_id").cast("string").alias(KEY),
+        F.col("turn").alias("seq"),
+        F.get(F.array(*forms), form.cast("int")).alias("line"),
+    )
+
+
 def _as_lines(df: DataFrame, provider: str, project: Column, sid: Column, seq: Column, line: Column) -> DataFrame:
     return df.select(
         F.lit(provider).alias("provider"),
@@ -139,8 +161,8 @@ def _as_lines(df: DataFrame, provider: str, project: Column, sid: Column, seq: C
         sid.alias(KEY),
         seq.cast("bigint").alias("seq"),
         line.alias("line"),
-        # By the text, as engines write JSON with other spacing.
-        F.octet_length("text").cast("bigint").alias("size_bytes"),
+        # By the text if there is one, as engines write JSON with other spacing.
+        F.octet_length("text" if "text" in df.columns else line).cast("bigint").alias("size_bytes"),
     )
 
 
