@@ -1,6 +1,10 @@
-"""From log files to the tables that searches and views read."""
+"""From log files to the tables that searches and views read.
+
+Both formats may be loaded into one place; loading a provider's projects again replaces what was there of them.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoolsift.operators import claude, codex
 from spoolsift.operators.events import ready_events
@@ -15,7 +19,7 @@ def load_claude(spark: SparkSession, root: str, out: str, cwd: str | None = None
     lines = kept(claude_source.read_sessions(prepare(spark), root, cwd), "lines")
     write_events(ready_events(claude.claude_events(lines)), f"{out}/events")
     _write_sessions(claude.claude_sessions(lines), out)
-    claude.attribution(lines).write.parquet(f"{out}/attribution")
+    claude.attribution(lines).write.mode("overwrite").parquet(f"{out}/attribution")
 
 
 def load_codex(spark: SparkSession, root: str, out: str, cwd: str | None = None) -> None:
@@ -34,4 +38,6 @@ def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
 
 def _write_sessions(sessions: DataFrame, out: str) -> None:
     order = ["provider", "project", "started"]
-    sessions.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{out}/sessions")
+    named = sessions.withColumns({name: F.coalesce(name, F.lit("")) for name in ("provider", "project")})
+    placed = named.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "project").parquet(f"{out}/sessions")

@@ -71,7 +71,9 @@ def write_events(events: DataFrame, path: str) -> None:
         events = events.withColumn(name, F.coalesce(name, F.lit("")))
     columns = ["provider", "project", "path", "seq", "block"]
     placed = events.repartitionByRange(*columns).sortWithinPartitions(*columns)
-    placed.write.partitionBy("provider", "project").parquet(path)
+    # Only what is written anew is replaced, so that several formats and projects share a place.
+    out = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("provider", "project").parquet(path)
 
 
 def write_lines(events: DataFrame, path: str) -> None:

@@ -106,7 +106,9 @@ def test_load_and_search(spark, claude_root, tmp_path, rows):
     day = tmp_path / "sessions"
     day.mkdir()
     (day / "rollout-1.jsonl").write_text('{"type": "session_meta", "timestamp": "2026-01-01", "payload": {"id": "S", "cwd": "/w"}}\n')
-    load_codex(spark, str(tmp_path), f"{tmp_path}/more")
-    events, sessions = read(spark, f"{tmp_path}/more")
-    assert rows(sessions, "session_id", "title") == [("S", "")]
-    assert rows(events, "session_id", "kind") == [("S", "session_meta")]
+    # Both formats, and the same projects again, in one place.
+    load_codex(spark, str(tmp_path), f"{tmp_path}/tables")
+    load_claude(spark, claude_root, f"{tmp_path}/tables")
+    events, sessions = read(spark, f"{tmp_path}/tables")
+    assert rows(sessions, "session_id", "title") == [("S", ""), ("s1", "hi"), ("s2", "hi")]
+    assert rows(events, "session_id", "seq", "kind")[0] == ("S", 1, "session_meta") and events.count() == 4
