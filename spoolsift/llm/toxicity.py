@@ -7,6 +7,7 @@ words that labelled clean texts hold and toxic ones do not, or given ones) do no
 by itself and for the length of the text, gives the score.
 """
 
+import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -32,10 +33,11 @@ INVISIBLE = "­​‌‍⁠﻿"
 FULL_WIDTH = {chr(0xFF21 + i): chr(ord("a") + i) for i in range(26)} | {chr(0xFF41 + i): chr(ord("a") + i) for i in range(26)}
 
 # Limits of what is learnt: beginnings of words, kinds of text an entry must be in, its
-# least weight, and entries at most.
+# least weight, the least log of the odds against chance, and entries at most.
 PREFIXES = range(4, 9)
 LEAST_KINDS = 4
 LEAST_WEIGHT = 2.0
+LEAST_EVIDENCE = 1.0
 MOST_ENTRIES = 5_000
 # Clean texts that a phrase must be in to be an exception, and labelled rows that the curve is fitted on at most.
 EXCEPTION_TEXTS = 3
@@ -62,7 +64,7 @@ def folded(text: Column) -> Column:
     letters = F.translate(inside, "".join(DIGITS), "".join(DIGITS.values()))
     # Without a digit or sign next to a letter there is nothing to spell out.
     plain = F.when(seen.rlike(rf"\p{{L}}{spelled}|{spelled}\p{{L}}"), letters).otherwise(seen)
-    return F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{M}]+", " "), F.lit(" "))
+    return F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), r"[^\p{L}\p{M}]+", " ")
 
 
 def training_rows(doc_id: Column) -> Column:
@@ -140,7 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
     texts = docs.where(training_rows(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = texts.join(known, "doc_id").select("doc_id", "toxic", folded(F.col("text")).alias("text"))
     words = F.split(F.trim("text"), " ")
-    pairs = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+    # The words are not named inside the function, where they would be cut anew for each of them.
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
     train = scratch.keep(train.withColumn("least", F.array_min(pairs)), "train")
     sizes = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     toxic, clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
@@ -160,8 +163,14 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
     entries = counts.select("t", "c", "bits", F.explode(F.array(*parts)).alias("entry")).where(F.col("entry").isNotNull())
     entries = entries.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("bits").alias("bits"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    best = entries.withColumn("weight", weight)
-    best = best.where((F.bit_count("bits") >= LEAST_KINDS) & (F.col("weight") >= LEAST_WEIGHT))
+    often = scratch.keep(entries.where(F.bit_count("bits") >= LEAST_KINDS), "entries")
+    # The odds against so many toxic kinds among all texts with an entry by chance, for the number of entries tried.
+    kinds = F.bit_count("bits").cast("double")
+    rate, share = F.lit(toxic / sizes["n"]), kinds / (kinds + F.col("c"))
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    evidence = (kinds + F.col("c")) * (share * F.log(share / rate) + other)
+    best = often.withColumn("weight", weight).where((share > rate) & (F.col("weight") >= LEAST_WEIGHT))
+    best = best.where(evidence >= math.log(max(1, often.count())) + LEAST_EVIDENCE)
     rows = best.orderBy(F.desc("t"), F.desc("weight"), "entry").limit(MOST_ENTRIES).collect()
     weights = _chosen({r["entry"]: (r["t"], r["weight"]) for r in rows})
 
@@ -169,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
     model = Model(weights, (*exceptions, *phrases))
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     fit = _features(sample, model, "toxic").toPandas()
-    scratch.drop("train")
+    scratch.drop("train", "entries")
     curve = fitted(fit[["any", "total", "density"]].to_numpy(float), fit["toxic"].to_numpy(float))
     return Model(weights, model.exceptions, curve)
 
