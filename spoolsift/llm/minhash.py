@@ -5,7 +5,8 @@ coordinate; two permutations give them all. Documents that agree in a band share
 
 Links: copies (equal sets) are one node. In a bucket the most popular node is the centre, and all others are compared with it,
 so a bucket of any size gives as many pairs as it has nodes. What is then still apart within a bucket is compared as well, but
-only pairs that can reach the threshold: a shingle that no other node of such buckets has is lost to every intersection.
+only pairs that can reach the threshold: a shingle that no other node of such buckets has is lost to every intersection, and
+sets counted in parts have no more in common than the smaller counts.
 All comparisons are made on full sets.
 """
 
@@ -29,6 +30,8 @@ SHINGLE = 5
 # A pair at 0.85 misses all 32 bands of 4 with a chance of 6e-11.
 BANDS = 32
 ROWS = 4
+# Sets are counted by as many parts of the hashes; what two have in common is at most the sum of the smaller counts.
+BINS = 128
 
 LETTERS = table(letters_and_digits=False, lower=True)
 
@@ -107,10 +110,16 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for begin, group in grouped(list(batch["text"])):
-                sets = [s.view(np.int64) for s in shingle_sets(group, shingle)]
-                yield pd.DataFrame({"node": batch["node"].iloc[begin : begin + len(group)].to_numpy(), "shingles": sets})
+                sets = shingle_sets(group, shingle)
+                yield pd.DataFrame(
+                    {
+                        "node": batch["node"].iloc[begin : begin + len(group)].to_numpy(),
+                        "shingles": [s.view(np.int64) for s in sets],
+                        "bins": [np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS) for s in sets],
+                    }
+                )
 
-    return texts.mapInPandas(cut, "node long, shingles array<long>")
+    return texts.mapInPandas(cut, "node long, shingles array<long>, bins array<int>")
 
 
 def _linked(common: Column, one: Column, two: Column, percent: int) -> Column:
@@ -202,15 +211,18 @@ def near_duplicates(
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     most = rooted.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
     most = most.where(100 * F.col("most") >= percent * F.col("n")).join(nodes.select("node", "bands"), "node")
-    most = scratch.keep(most, "possible")
-    left = most.where(F.col("root") != F.col("main")).select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "most", "bands")))
+    most = scratch.keep(most.join(sets.select("node", "bins"), "node"), "possible")
+    left = most.where(F.col("root") != F.col("main")).select("band", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root", "most", "bands", "bins")))
     bound = _linked(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"), percent)
     # A pair of two leftovers would come up twice.
-    right = most.select("band", F.col("main").alias("main_b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "most", "bands")))
+    right = most.select("band", F.col("main").alias("main_b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "most", "bands", "bins")))
     once = (F.col("root_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
     # Of the buckets that both are in, one gives the pair.
     once = once & (F.array_min(F.array_intersect("bands_a", "bands_b")) == left["band"])
-    rest = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & bound & once)
+    smaller = F.zip_with("bins_a", "bins_b", lambda a, b: F.least(a, b))
+    common = F.least(F.aggregate(smaller, F.lit(0), lambda total, n: total + n), "most_a", "most_b")
+    reach = _linked(common, F.col("n_a"), F.col("n_b"), percent)
+    rest = left.join(right, (left["band"] == right["band"]) & (F.col("root_a") != F.col("root_b")) & bound & once & reach)
     rest = rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.lit(1).alias("_one")).drop("_one")
     more = verified(rest, sets, percent)
     for side in ("a", "b"):
