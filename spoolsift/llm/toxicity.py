@@ -140,7 +140,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
     known = labels.where(F.col("toxic").isNotNull() & training_rows(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.where(training_rows(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = texts.join(known, "doc_id").select("doc_id", "toxic", folded(F.col("text")).alias("text"))
+    # Labels grow with the documents, so both are shuffled at any size.
+    train = texts.join(known.hint("merge"), "doc_id").select("doc_id", "toxic", folded(F.col("text")).alias("text"))
     words = F.split(F.trim("text"), " ")
     # The words are not named inside the function, where they would be cut anew for each of them.
     pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
