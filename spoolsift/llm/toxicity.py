@@ -145,33 +145,35 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
     words = F.split(F.trim("text"), " ")
     # The words are not named inside the function, where they would be cut anew for each of them.
     pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
-    train = scratch.keep(train.withColumn("least", F.array_min(pairs)), "train")
+    # Copies of a text with changes mostly share their least pair of words, so it names the kind of a text.
+    kind = F.coalesce(F.array_min(pairs), F.xxhash64("text"))
+    train = scratch.keep(train.withColumn("kind", kind), "train")
     sizes = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     toxic, clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
     if not toxic or not clean:
         return Model()
 
-    # Copies of a text with changes mostly share their least pair of words, so the bits of it tell kinds of text.
-    bit = F.expr("shiftleft(1L, cast(pmod(least, 64) as int))")
     each = F.array_distinct(F.split(F.trim("text"), " "))
-    words = train.select("toxic", (bit * F.col("toxic")).alias("bit"), F.explode(each).alias("word")).where("word != ''")
-    counts = words.groupBy("word").agg(
-        F.sum("toxic").alias("t"), (F.count("*") - F.sum("toxic")).alias("c"), F.bit_or("bit").alias("bits")
-    )
+    words = train.select("toxic", "kind", F.explode(each).alias("word")).where("word != ''")
+    counts = words.groupBy("word").agg(F.sum("toxic").alias("t"), (F.count("*") - F.sum("toxic")).alias("c"))
+    counts = scratch.keep(counts, "words")
     # A beginning is in at most as many texts as all words that begin with it.
     parts = [F.concat(F.lit(" "), F.col("word"), F.lit(" "))]
     parts += [F.when(F.length("word") >= n, F.concat(F.lit(" "), F.substring("word", 1, n))) for n in PREFIXES]
-    entries = counts.select("t", "c", "bits", F.explode(F.array(*parts)).alias("entry")).where(F.col("entry").isNotNull())
-    entries = entries.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.bit_or("bits").alias("bits"))
+    parts = counts.select("word", "t", "c", F.explode(F.array(*parts)).alias("entry")).where(F.col("entry").isNotNull())
+    entries = parts.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    often = scratch.keep(entries.where(F.bit_count("bits") >= LEAST_KINDS), "entries")
-    # The odds against so many toxic kinds among all texts with an entry by chance, for the number of entries tried.
-    kinds = F.bit_count("bits").cast("double")
-    rate, share = F.lit(toxic / sizes["n"]), kinds / (kinds + F.col("c"))
-    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    evidence = (kinds + F.col("c")) * (share * F.log(share / rate) + other)
-    best = often.withColumn("weight", weight).where((share > rate) & (F.col("weight") >= LEAST_WEIGHT))
-    best = best.where(evidence >= math.log(max(1, often.count())) + LEAST_EVIDENCE)
+    often = scratch.keep(entries.where(F.col("t") >= LEAST_KINDS).withColumn("weight", weight), "often")
+
+    # Kinds are told apart only for entries of enough weight, which few clean texts hold.
+    heavy = often.where(F.col("weight") >= LEAST_WEIGHT)
+    held = parts.join(heavy, "entry", "left_semi").groupBy("word").agg(F.collect_list("entry").alias("entries"))
+    kinds = _kinds(words.join(held, "word").select("toxic", "kind", F.explode("entries").alias("entry")), "entry")
+    base = train.select("toxic", "kind").distinct().groupBy().pivot("toxic", [0, 1]).count().first()
+    rate = base["1"] / (base["0"] + base["1"])
+    best = heavy.join(kinds.where(F.col("toxic_kinds") >= LEAST_KINDS), "entry")
+    share = F.col("toxic_kinds") / (F.col("toxic_kinds") + F.col("clean_kinds"))
+    best = best.where((share > rate) & (_evidence(share, F.lit(rate)) >= math.log(max(1, often.count())) + LEAST_EVIDENCE))
     rows = best.orderBy(F.desc("t"), F.desc("weight"), "entry").limit(MOST_ENTRIES).collect()
     weights = _chosen({r["entry"]: (r["t"], r["weight"]) for r in rows})
 
@@ -179,11 +181,24 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
     model = Model(weights, (*exceptions, *phrases))
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     fit = _features(sample, model, "toxic").toPandas()
-    scratch.drop("train", "entries")
+    scratch.drop("train", "words", "often")
     curve = fitted(fit[["any", "total", "density"]].to_numpy(float), fit["toxic"].to_numpy(float))
     return Model(weights, model.exceptions, curve)
 
 
+def _kinds(rows: DataFrame, name: str) -> DataFrame:
+    """Different kinds of toxic and of clean texts for each value of a column, however many: toxic_kinds, clean_kinds."""
+    each = rows.select(name, "kind", "toxic").distinct()
+    return each.groupBy(name).agg(F.sum("toxic").alias("toxic_kinds"), F.sum(1 - F.col("toxic")).alias("clean_kinds"))
+
+
+def _evidence(share: Column, expected: Column) -> Column:
+    """The log of the odds against such a share of toxic kinds by chance, where another is expected."""
+    toxic = F.when(share > 0, share * F.log(share / expected)).otherwise(0.0)
+    clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - expected))).otherwise(0.0)
+    return (F.col("toxic_kinds") + F.col("clean_kinds")) * (toxic + clean)
+
+
 def _chosen(found: dict[str, tuple[int, float]]) -> dict[str, float]:
     """Of entries that begin alike, the ones to keep: a longer one if it says more about nearly all texts, else the shorter."""
     left = dict(found)

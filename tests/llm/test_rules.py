@@ -147,3 +147,17 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     for empty in (toxicity.learn(no_docs, labels), toxicity.learn(docs, labels.where("false")), toxicity.learn(docs, nulls)):
         assert empty == toxicity.Model()
         assert {r.toxicity for r in toxicity.toxicity(odd_docs, empty).collect()} == {0.0}
+
+
+def test_a_word_of_many_texts_is_learnt_though_clean_texts_hold_it(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(4000):
+        words = ["".join(rng.choice("klmnprst") for _ in range(6)) for _ in range(4)]
+        toxic = int(i % 10 < 3)
+        if toxic or rng.random() < 0.12:
+            words.insert(2, "vorgle")
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert any(e.startswith(" vorg") for e in toxicity.learn(docs, labels).weights)
