@@ -2,12 +2,13 @@
 
 Texts are folded first: lower case, letters that look alike and digits that stand for letters become one letter, invisible
 characters go. The lexicon is learnt from labelled texts: beginnings of words and whole words with the log of the odds they
-speak for. An Aho-Corasick automaton finds its entries in the folded text; those inside an exception phrase (a pair of
-words that labelled clean texts hold and toxic ones do not, or given ones) do not count. A logistic curve over the sum of weights,
+speak for. Aho-Corasick automata find its entries in the folded text; those inside an exception phrase (a pair of
+words whose labelled texts are clean far more often than those of its entry, or given ones) do not count. A logistic curve over the sum of weights,
 by itself and for the length of the text, gives the score.
 """
 
 import math
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -33,15 +34,16 @@ INVISIBLE = "­​‌‍⁠﻿"
 FULL_WIDTH = {chr(0xFF21 + i): chr(ord("a") + i) for i in range(26)} | {chr(0xFF41 + i): chr(ord("a") + i) for i in range(26)}
 
 # Limits of what is learnt: beginnings of words, kinds of text an entry must be in, its
-# least weight, the least log of the odds against chance, and entries at most.
+# least weight, and the least log of the odds against chance.
 PREFIXES = range(4, 9)
 LEAST_KINDS = 4
 LEAST_WEIGHT = 2.0
 LEAST_EVIDENCE = 1.0
-MOST_ENTRIES = 5_000
-# Clean texts that a phrase must be in to be an exception, and labelled rows that the curve is fitted on at most.
-EXCEPTION_TEXTS = 3
+# Kinds of clean text that a phrase must be in to be an exception, and labelled rows that the curve is fitted on at most.
+EXCEPTION_KINDS = 3
 FIT_ROWS = 20_000
+# Entries and exceptions in one automaton, some 60 bytes of memory a letter; of more, each batch of texts is read once for each part.
+ENTRIES_A_PASS = 100_000
 
 
 @dataclass(frozen=True)
@@ -72,43 +74,64 @@ def training_rows(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
+def _parts(model: Model) -> list[bytes]:
+    """Entries (text, 0, weight) and exceptions (text, 1, 0) in parts of one automaton each, packed small."""
+    every = [(entry, 0, weight) for entry, weight in model.weights.items()]
+    every += [(f" {phrase} ", 1, 0.0) for phrase in model.exceptions]
+    return [pickle.dumps(every[i : i + ENTRIES_A_PASS]) for i in range(0, len(every), ENTRIES_A_PASS)]
+
+
 class Matcher:
-    """The automaton over folded texts."""
+    """The automata over folded texts, given a model or the parts of one. Only one automaton is in memory at a time."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model | list[bytes]):
+        self.parts = _parts(model) if isinstance(model, Model) else model
+        self.only = self._machine(self.parts[0]) if len(self.parts) == 1 else None
+
+    def _machine(self, part: bytes):
         import ahocorasick
 
-        self.weights = list(model.weights.items())
-        self.machine = ahocorasick.Automaton()
-        for entry, weight in self.weights:
-            self.machine.add_word(entry, (0, len(entry), weight))
-        for phrase in model.exceptions:
-            self.machine.add_word(f" {phrase} ", (1, len(phrase) + 2, 0.0))
-        if len(self.machine):
-            self.machine.make_automaton()
+        # An exception may be an entry as well, so both kinds of a text are kept together.
+        kinds: dict[str, list] = {}
+        for entry, kind, weight in pickle.loads(part):
+            kinds.setdefault(entry, []).append((kind, len(entry), weight))
+        machine = ahocorasick.Automaton()
+        for entry, values in kinds.items():
+            machine.add_word(entry, values)
+        machine.make_automaton()
+        return machine
 
     def matches(self, text: str) -> list[tuple[int, float]]:
+        return self.matches_of([text])[0]
+
+    def matches_of(self, texts: Sequence[str]) -> list[list[tuple[int, float]]]:
         """(place of the word, weight) of every word with an entry and outside of exceptions; of several the heaviest."""
-        if not len(self.machine):
-            return []
-        best: dict[int, float] = {}
-        excepted: list[tuple[int, int]] = []
-        for end, (kind, size, weight) in self.machine.iter(text):
-            start = end - size + 1
-            if kind:
-                excepted.append((start, end))
-            elif weight > best.get(start, 0.0):
-                best[start] = weight
-        for start, end in excepted:
-            for place in [p for p in best if start <= p < end]:
-                del best[place]
-        return sorted(best.items())
-
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Of a folded text: is there any, sum of weights, sum for the length."""
-        found = self.matches(text)
-        total = sum(weight for _, weight in found)
-        return float(bool(found)), float(np.log1p(total)), float(np.log1p(1000 * total / (text.count(" ") + 20)))
+        best: list[dict[int, float]] = [{} for _ in texts]
+        excepted: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for part in self.parts:
+            machine = self.only or self._machine(part)
+            for text, mine, spans in zip(texts, best, excepted):
+                for end, values in machine.iter(text):
+                    for kind, size, weight in values:
+                        start = end - size + 1
+                        if kind:
+                            spans.append((start, end))
+                        elif weight > mine.get(start, 0.0):
+                            mine[start] = weight
+            del machine
+        for mine, spans in zip(best, excepted):
+            for start, end in spans:
+                for place in [p for p in mine if start <= p < end]:
+                    del mine[place]
+        return [sorted(mine.items()) for mine in best]
+
+    def features_of(self, texts: Sequence[str]) -> list[tuple[float, float, float]]:
+        """Of each folded text: is there any, sum of weights, sum for the length."""
+        rows = []
+        for text, found in zip(texts, self.matches_of(texts)):
+            total = sum(weight for _, weight in found)
+            rows.append((float(bool(found)), float(np.log1p(total)), float(np.log1p(1000 * total / (text.count(" ") + 20)))))
+        return rows
 
 
 def score_of(features: Sequence[float], curve: Sequence[float]) -> float:
@@ -174,14 +197,14 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
     best = heavy.join(kinds.where(F.col("toxic_kinds") >= LEAST_KINDS), "entry")
     share = F.col("toxic_kinds") / (F.col("toxic_kinds") + F.col("clean_kinds"))
     best = best.where((share > rate) & (_evidence(share, F.lit(rate)) >= math.log(max(1, often.count())) + LEAST_EVIDENCE))
-    rows = best.orderBy(F.desc("t"), F.desc("weight"), "entry").limit(MOST_ENTRIES).collect()
-    weights = _chosen({r["entry"]: (r["t"], r["weight"]) for r in rows})
+    best = scratch.keep(best.select("entry", "t", "weight"), "best")
+    weights = {r["entry"]: r["weight"] for r in _chosen(best).orderBy(F.desc("t"), F.desc("weight"), "entry").collect()}
 
-    phrases = _exceptions(train, Model(weights)) if weights else []
+    phrases = _exceptions(train, Model(weights), rate, scratch) if weights else []
     model = Model(weights, (*exceptions, *phrases))
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     fit = _features(sample, model, "toxic").toPandas()
-    scratch.drop("train", "words", "often")
+    scratch.drop("train", "words", "often", "best", "phrases")
     curve = fitted(fit[["any", "total", "density"]].to_numpy(float), fit["toxic"].to_numpy(float))
     return Model(weights, model.exceptions, curve)
 
@@ -199,54 +222,66 @@ def _evidence(share: Column, expected: Column) -> Column:
     return (F.col("toxic_kinds") + F.col("clean_kinds")) * (toxic + clean)
 
 
-def _chosen(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+def _chosen(found: DataFrame) -> DataFrame:
     """Of entries that begin alike, the ones to keep: a longer one if it says more about nearly all texts, else the shorter."""
-    left = dict(found)
-    for entry, (texts, weight) in found.items():
-        for n in range(2, len(entry)):
-            shorter = found.get(entry[:n])
-            if shorter and texts >= 0.7 * shorter[0] and weight > shorter[1] + 0.3:
-                left.pop(entry[:n], None)
-    return {e: w for e, (_, w) in left.items() if not any(left.get(e[:n], (0, -1.0))[1] >= w - 0.5 for n in range(2, len(e)))}
+    lengths = F.sequence(F.lit(PREFIXES.start + 1), F.least(F.lit(PREFIXES.stop), F.length("entry") - 1))
+    begins = F.when(F.length("entry") > PREFIXES.start + 1, F.transform(lengths, lambda n: F.substring(F.col("entry"), F.lit(1), n)))
+    longer = found.select(F.col("entry").alias("longer"), F.col("t").alias("lt"), F.col("weight").alias("lw"), F.explode(begins).alias("entry"))
+    pairs = longer.join(found, "entry")
+    less = pairs.where((F.col("lt") >= 0.7 * F.col("t")) & (F.col("lw") > F.col("weight") + 0.3)).select("entry")
+    covered = pairs.where(F.col("weight") >= F.col("lw") - 0.5).join(less, "entry", "left_anti").select(F.col("longer").alias("entry"))
+    return found.join(less, "entry", "left_anti").join(covered, "entry", "left_anti")
 
 
 def _shared(df: DataFrame, model: Model):
-    """The model as plain values on all executors; its size is bounded by MOST_ENTRIES."""
-    return df.sparkSession.sparkContext.broadcast((model.weights, model.exceptions, model.curve))
+    """The model on all executors, its entries in packed parts."""
+    return df.sparkSession.sparkContext.broadcast((_parts(model), model.curve))
 
 
-def _exceptions(train: DataFrame, model: Model) -> list[str]:
-    """Pairs of words with an entry that several clean texts and no toxic ones hold."""
+def _exceptions(train: DataFrame, model: Model, rate: float, scratch: Scratch) -> list[str]:
+    """Pairs of words with an entry that speak for clean texts, though the entry by itself speaks for toxic ones.
+
+    Toxic kinds are no more frequent among the phrase's kinds than among all, and the evidence that they are rarer than the weight
+    of its lightest entry lets expect is held to the limit for entries.
+    """
     shared = _shared(train, model)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(Model(*shared.value))
+        matcher = Matcher(shared.value[0])
         for batch in batches:
-            rows = set()
-            for i, (text, toxic) in enumerate(zip(batch["text"], batch["toxic"])):
-                for place, _ in matcher.matches(text):
+            rows: dict[tuple, float] = {}
+            for text, toxic, kind, found in zip(batch["text"], batch["toxic"], batch["kind"], matcher.matches_of(batch["text"])):
+                for place, weight in found:
                     end = text.index(" ", place + 1)
                     before = text.rfind(" ", 0, place)
                     behind = text.find(" ", end + 1)
-                    if before >= 0 and place > before + 1:
-                        rows.add((text[before + 1 : end], toxic, i))
-                    if behind > end + 1:
-                        rows.add((text[place + 1 : behind], toxic, i))
-            yield pd.DataFrame([(p, int(t)) for p, t, _ in rows], columns=["phrase", "toxic"])
-
-    found = train.select("text", "toxic").mapInPandas(pairs, "phrase string, toxic int")
-    counted = found.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    clean = counted.where((F.col("t") == 0) & (F.col("n") >= EXCEPTION_TEXTS))
-    return [r["phrase"] for r in clean.orderBy(F.desc("n"), "phrase").limit(MOST_ENTRIES).collect()]
+                    phrases = [text[before + 1 : end]] if before >= 0 and place > before + 1 else []
+                    phrases += [text[place + 1 : behind]] if behind > end + 1 else []
+                    for phrase in phrases:
+                        row = phrase, int(toxic), kind
+                        rows[row] = min(weight, rows.get(row, weight))
+            yield pd.DataFrame([(*row, w) for row, w in rows.items()], columns=["phrase", "toxic", "kind", "weight"])
+
+    found = train.select("text", "toxic", "kind").mapInPandas(pairs, "phrase string, toxic int, kind long, weight double")
+    found = scratch.keep(found.groupBy("phrase", "toxic", "kind").agg(F.min("weight").alias("weight")), "phrases")
+    tried = found.groupBy("phrase").agg(
+        F.sum("toxic").alias("toxic_kinds"), F.sum(1 - F.col("toxic")).alias("clean_kinds"), F.min("weight").alias("weight")
+    )
+    tried = tried.where(F.col("clean_kinds") >= EXCEPTION_KINDS)
+    share = F.col("toxic_kinds") / (F.col("toxic_kinds") + F.col("clean_kinds"))
+    # Less than 1, so that one clean text is never out of the question.
+    expected = F.least(1 / (1 + F.exp(-F.col("weight") - math.log(rate / (1 - rate)))), F.lit(1 - 1e-9))
+    clean = tried.where((share <= rate) & (_evidence(share, expected) >= math.log(max(1, tried.count())) + LEAST_EVIDENCE))
+    return [r["phrase"] for r in clean.orderBy(F.desc("clean_kinds"), "phrase").collect()]
 
 
 def _features(rows: DataFrame, model: Model, *columns: str) -> DataFrame:
     shared = _shared(rows, model)
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(Model(*shared.value))
+        matcher = Matcher(shared.value[0])
         for batch in batches:
-            yield pd.DataFrame([matcher.features(t) for t in batch], columns=["any", "total", "density"])
+            yield pd.DataFrame(matcher.features_of(batch), columns=["any", "total", "density"])
 
     made = F.pandas_udf(work, "any double, total double, density double")(F.col("text"))
     return rows.select(*columns, made.alias("f")).select(*columns, "f.*")
@@ -261,8 +296,8 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = _shared(docs, model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(Model(*shared.value))
+        matcher = Matcher(shared.value[0])
         for batch in batches:
-            yield pd.Series([score_of(matcher.features(t), shared.value[2]) for t in batch], dtype=float)
+            yield pd.Series([score_of(f, shared.value[1]) for f in matcher.features_of(batch)], dtype=float)
 
     return docs.withColumn("toxicity", F.pandas_udf(score, "double")(folded(F.col(text))))

@@ -161,3 +161,54 @@ def test_a_word_of_many_texts_is_learnt_though_clean_texts_hold_it(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     assert any(e.startswith(" vorg") for e in toxicity.learn(docs, labels).weights)
+
+
+def test_rare_words_and_exceptions_are_kept_by_rates(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_ENTRIES", 3, raising=False)
+    monkeypatch.setattr(toxicity, "ENTRIES_A_PASS", 2, raising=False)
+    rng = random.Random(8)
+    rows, copied = [], None
+    for i in range(1500):
+        words = ["".join(rng.choice("klmnprst") for _ in range(6)) for _ in range(5)]
+        toxic = int(i % 10 < 3)
+        if toxic:
+            words.insert(2, "snerpitz" if i % 50 == 1 else "vorgle")
+            words.insert(3, "birds" if i == 100 else words[0][::-1])
+        elif i % 20 == 5:
+            words[2:2] = ["vorgle", "birds"]
+        elif i % 150 == 7:
+            words[2:2] = ["snerpitz", "quux"]
+            copied = words = copied or words
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert any(e.startswith(" sner") for e in model.weights) and any(e.startswith(" vorg") for e in model.weights)
+    assert "vorgle birds" in model.exceptions and "snerpitz quux" not in model.exceptions
+
+
+def test_entries_that_begin_alike_are_chosen_as_by_loops(spark):
+    rng = random.Random(2)
+    found = {}
+    for _ in range(60):
+        word = "ab" + "".join(rng.choice("xy") for _ in range(rng.randrange(1, 9)))
+        for entry in (f" {word} ", *(f" {word[:n]}" for n in toxicity.PREFIXES if len(word) >= n)):
+            found[entry] = rng.randrange(4, 12), rng.choice((2.0, 2.2, 2.4, 2.8, 3.0))
+    left = dict(found)
+    for entry, (texts, weight) in found.items():
+        for n in range(2, len(entry)):
+            shorter = found.get(entry[:n])
+            if shorter and texts >= 0.7 * shorter[0] and weight > shorter[1] + 0.3:
+                left.pop(entry[:n], None)
+    expected = {e for e, (_, w) in left.items() if not any(left.get(e[:n], (0, -1.0))[1] >= w - 0.5 for n in range(2, len(e)))}
+    table = spark.createDataFrame([(e, *v) for e, v in found.items()], "entry string, t long, weight double")
+    assert {r.entry for r in toxicity._chosen(table).collect()} == expected and 5 < len(expected) < len(found)
+
+
+def test_entries_in_several_automata_match_as_in_one(monkeypatch):
+    model = toxicity.Model({" kill": 3.0, " killer ": 4.0, " idiot ": 2.0, " dumb": 1.0}, ("killing time", "dumb luck", "idiot"))
+    texts = [" killing time ", " killer dumb luck dumber ", " idiot ", "", " killing "]
+    whole = toxicity.Matcher(model).matches_of(texts)
+    assert whole == [[], [(0, 4.0), (17, 1.0)], [], [], [(0, 3.0)]]
+    for n in (1, 2, 3):
+        monkeypatch.setattr(toxicity, "ENTRIES_A_PASS", n)
+        assert toxicity.Matcher(model).matches_of(texts) == whole
