@@ -146,8 +146,9 @@ def _removed(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFr
         for doc_id, text, gone in zip(batch["doc_id"], batch["text"], batch["windows"]):
             w = Words([text.encode("utf-8", "surrogatepass")], LETTERS)
             starts = np.flatnonzero(np.isin(runs(w.hashes(), window).view(np.int64), np.asarray(gone, np.int64)))
+            # Another text of the same id may hold the windows, and this one none of them.
             breaks = np.flatnonzero(np.diff(starts) > window)
-            firsts, lasts = starts[np.concatenate([[0], breaks + 1])], starts[np.concatenate([breaks, [len(starts) - 1]])]
+            firsts, lasts = np.concatenate([starts[:1], starts[breaks + 1]]), np.concatenate([starts[breaks], starts[-1:]])
             spans = [{"start": int(a), "end": int(b) + window} for a, b in zip(firsts, lasts)]
             edges = [0, *(e for s in spans for e in (s["start"], s["end"])), len(w)]
             left = [w.sequence(a, b - a) for a, b in zip(edges[::2], edges[1::2]) if b > a]

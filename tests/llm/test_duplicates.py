@@ -82,6 +82,14 @@ def test_passages_of_odd_rows(odd_docs, no_docs):
     assert substrings.repeats(no_docs).count() == 0 and substrings.without_repeats(no_docs).count() == 0
 
 
+def test_passages_of_different_texts_under_one_id(spark):
+    rng = random.Random(7)
+    a, b = (" ".join(sentences(rng, 55, 10**6)) for _ in range(2))
+    docs = [(1, a), (5, f"{a} and more"), (5, f"only {b}"), (9, b), (5, f"{b} then {a}")]
+    rows = substrings.repeats(frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == sorted(brute.repeats(docs))
+
+
 def test_windows_of_items_are_found_as_by_loops(spark, mixed, monkeypatch):
     texts = [t for _, t in mixed]
     items = [(i, " ".join(texts[i].split()[5 : 5 + n])) for i, n in enumerate((0, 1, 2, 4, 12, 13, 14, 40, 60, 60))]
