@@ -15,11 +15,16 @@ from spoolsift.sources.store import kept, write_events
 
 
 def load_claude(spark: SparkSession, root: str, out: str, cwd: str | None = None) -> None:
-    """Load all projects below ``root`` (or one) into ``events``, ``sessions`` and ``attribution`` below ``out``."""
+    """Load all projects below ``root`` (or one) into ``events``, ``sessions`` and ``attribution`` below ``out``.
+
+    All three are laid out by provider and project; ``attribution`` has no files as long as no record names a skill.
+    """
     lines = kept(claude_source.read_sessions(prepare(spark), root, cwd), "lines")
     write_events(ready_events(claude.claude_events(lines)), f"{out}/events")
-    _write_sessions(claude.claude_sessions(lines), out)
-    claude.attribution(lines).write.mode("overwrite").parquet(f"{out}/attribution")
+    _write(claude.claude_sessions(lines), f"{out}/sessions", "started")
+    skills = kept(claude.attribution(lines), "attribution")
+    _drop_projects(lines.select("provider", "project").distinct().join(skills, ["provider", "project"], "left_anti"), f"{out}/attribution")
+    _write(skills, f"{out}/attribution", "session_id")
 
 
 def load_codex(spark: SparkSession, root: str, out: str, cwd: str | None = None) -> None:
@@ -27,7 +32,7 @@ def load_codex(spark: SparkSession, root: str, out: str, cwd: str | None = None)
     lines = kept(codex_source.read_sessions(prepare(spark), root, cwd), "lines")
     write_events(ready_events(codex.codex_events(lines)), f"{out}/events")
     titles = codex_source.read_titles(spark, root)
-    _write_sessions(codex.codex_sessions(lines, titles), out)
+    _write(codex.codex_sessions(lines, titles), f"{out}/sessions", "started")
 
 
 def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
@@ -36,8 +41,18 @@ def read(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{out}/events"), spark.read.parquet(f"{out}/sessions")
 
 
-def _write_sessions(sessions: DataFrame, out: str) -> None:
-    order = ["provider", "project", "started"]
-    named = sessions.withColumns({name: F.coalesce(name, F.lit("")) for name in ("provider", "project")})
+def _write(rows: DataFrame, path: str, order_by: str) -> None:
+    """Write rows by provider and project; only the projects written anew are replaced."""
+    order = ["provider", "project", order_by]
+    named = rows.withColumns({name: F.coalesce(name, F.lit("")) for name in ("provider", "project")})
     placed = named.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "project").parquet(f"{out}/sessions")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "project").parquet(path)
+
+
+def _drop_projects(projects: DataFrame, path: str) -> None:
+    """Delete what is stored of projects that have no rows any more; a dynamic overwrite would leave it."""
+    spark = projects.sparkSession
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for provider, project in projects.collect():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/provider={escaped(provider)}/project={escaped(project)}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -112,3 +112,22 @@ def test_load_and_search(spark, claude_root, tmp_path, rows):
     events, sessions = read(spark, f"{tmp_path}/tables")
     assert rows(sessions, "session_id", "title") == [("S", ""), ("s1", "hi"), ("s2", "hi")]
     assert rows(events, "session_id", "seq", "kind")[0] == ("S", 1, "session_meta") and events.count() == 4
+
+
+def test_attribution_of_other_projects_stays(spark, tmp_path, rows):
+    files = {}
+    for name in "ab":
+        files[name] = tmp_path / "projects" / f"-srv-{name}" / f"{name}1.jsonl"
+        files[name].parent.mkdir(parents=True)
+    record = {"type": "assistant", "timestamp": "2026-01-01T00:00:00Z", "message": {"content": "hi"}}
+    for file in files.values():
+        file.write_text(json.dumps({**record, "attributionSkill": "fmt"}) + "\n")
+    out = f"{tmp_path}/tables"
+    for cwd in ("/srv/a", "/srv/b", "/srv/b"):
+        load_claude(spark, str(tmp_path), out, cwd)
+    assert rows(spark.read.parquet(f"{out}/attribution"), "project", "session_id", "records") == [("-srv-a", "a1", 1), ("-srv-b", "b1", 1)]
+    # Loaded again without any, a project has none.
+    files["b"].write_text(json.dumps(record) + "\n")
+    load_claude(spark, str(tmp_path), out, "/srv/b")
+    spark.catalog.refreshByPath(f"{out}/attribution")
+    assert rows(spark.read.parquet(f"{out}/attribution"), "project", "session_id") == [("-srv-a", "a1")]
