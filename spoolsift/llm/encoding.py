@@ -19,38 +19,58 @@ WHITE_SPACE = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PUNCTUATION = ".,!?;:"
 
-# Letters up to white space, punctuation or the end; punctuation up to white space; anything up to white space.
+# A line feed alone before a letter; letters up to white space, punctuation or the end; punctuation up to white space; anything
+# up to white space.
 PIECES = re.compile(
-    f"[{WHITE_SPACE}]*[{LETTERS}]+(?=[{WHITE_SPACE}{PUNCTUATION}]|$)|[{PUNCTUATION}]+(?=[{WHITE_SPACE}]|$)"
+    f"\n(?=[{LETTERS}])|[{WHITE_SPACE}]*[{LETTERS}]+(?=[{WHITE_SPACE}{PUNCTUATION}]|$)|[{PUNCTUATION}]+(?=[{WHITE_SPACE}]|$)"
     f"|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+"
 )
 _PLAIN = re.compile(f" ?[{LETTERS}]+")
-# Runs of white space with a blank inside, and white space other than blanks and line feeds: cut by PIECES alone.
-_UNEVEN = ["  ", " \n", "\n ", *"\t\r\x0b\x0c\x85\xa0     　", *map(chr, range(0x2000, 0x200B))]
 
-# Entries that a worker remembers of words and of pieces, and the longest string worth remembering.
-KEPT = 500_000
+# Entries of each of a worker's two generations of remembered pieces, and the longest piece worth remembering.
+KEPT = 400_000
 LONGEST = 64
 
+# Steps before the model that cut wherever PIECES does and leave letters as letters. How two public files state them.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}
+KNOWN_STEPS = [
+    (None, _BYTE_LEVEL | {"use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": _LOWER},
+        {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTE_LEVEL | {"use_regex": False}]},
+    ),
+]
 
-class _Memory(dict):
-    """A dictionary that works out what it lacks; it forgets all once it is full."""
+
+class Memory(dict):
+    """Works out what it lacks. Of two generations the older one is dropped when the newer is full; what is met again moves up."""
 
     def __init__(self, work):
         super().__init__()
         self.work = work
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.work(key)
+        found = self.older.get(key)
+        if found is None:
+            found = self.work(key)
         if len(key) <= LONGEST:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
             self[key] = found
         return found
 
 
 class Encoder:
-    """Ids as bytes of little-endian unsigned 32-bit integers; the memory is bounded by KEPT entries."""
+    """Ids as bytes of little-endian unsigned 32-bit integers; the memory is bounded by twice KEPT entries.
+
+    Texts are cut only for vocabularies whose steps before the model are known to cut there too; with any other file the
+    library encodes whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,28 +78,39 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         steps = json.loads(self.library.to_str())
+        self.cuts = _cuts_are_safe(steps)
         # Does the normalizer drop blanks and lower letters? Letters by themselves are as any of them leaves them.
-        self.lowers = "Lowercase" in json.dumps(steps["normalizer"])
+        self.lowers = steps["normalizer"] is not None
         self.alphabet = _byte_alphabet()
-        self.pieces = _Memory(self._encode)
-        self.words = _Memory(lambda word: self._joined(" " + word))
+        self.pieces = Memory(self._encode)
 
     def encode(self, text: str) -> bytes:
-        if any(space in text for space in _UNEVEN):
-            return self._joined(text)
-        first, *rest = text.split(" ")
-        return self._joined(first) + b"".join(map(self.words.__getitem__, rest))
-
-    def _joined(self, text: str) -> bytes:
+        if not self.cuts:
+            return self._whole(text)
         return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
     def _encode(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece):
-            text = piece.lstrip(" ").lower() if self.lowers else piece
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        if not _PLAIN.fullmatch(piece):
+            return self._whole(piece)
+        text = piece.lstrip(" ").lower() if self.lowers else piece
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+        tokens = self.model.tokenize(text.translate(self.alphabet))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def _cuts_are_safe(steps: dict) -> bool:
+    """Known steps, no truncation or padding, plain merges, and added tokens that no cut can touch."""
+    if (steps["normalizer"], steps["pre_tokenizer"]) not in KNOWN_STEPS or steps["truncation"] or steps["padding"]:
+        return False
+    model = steps["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return False
+    plain = re.compile(f"[^{WHITE_SPACE}{LETTERS}{PUNCTUATION}][^{WHITE_SPACE}{PUNCTUATION}]*[^{WHITE_SPACE}{LETTERS}{PUNCTUATION}]")
+    return all(plain.fullmatch(t["content"]) and not t["lstrip"] and not t["rstrip"] for t in steps["added_tokens"])
 
 
 def _byte_alphabet() -> dict[int, int]:

@@ -32,35 +32,82 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of every item by the sum-of-squares rule, larger items first; no size is above ``capacity``."""
-    bins = np.zeros(len(sizes), np.int64)
-    offsets = np.zeros(len(sizes), np.int64)
+    """Bin and offset of every item, placed in the order given by the sum-of-squares rule; no size is above ``capacity``.
+
+    What the rule leaves open is packed once more if that saves a bin: see ``_finished``.
+    """
+    held: list[list[int]] = []
     counts = np.zeros(capacity + 1, np.int64)
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    made, worst = 0, np.iinfo(np.int64).max
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        # By room: what the sum of squares gains, halved and without what is the same for all.
+    worst = np.iinfo(np.int64).max
+    for i, size in enumerate(sizes.tolist()):
+        # By room: what the placing adds to the sum of squares. One bin fewer has that room, one more has what is left of it.
         there = counts[size:]
-        gain = np.where(there > 0, counts[: len(there)] - there + 1, worst)
-        if size < capacity and there[0] > 0:
-            gain[0] = -there[0]  # full, so it is no longer counted: -2n+1 against 2(m-n+1)
-        best = int(np.argmin(gain))
-        new = counts[capacity - size] if size < capacity else -1
-        if gain[best] == worst or new < gain[best]:
-            room, target, made = capacity, made, made + 1
+        added = np.where(there > 0, 2 * (counts[: len(there)] - there) + 2, worst)
+        if there[0] > 0:
+            added[0] = 1 - 2 * there[0]  # full, and so no longer counted
+        best = int(np.argmin(added))
+        new = 2 * counts[capacity - size] + 1 if size < capacity else 0
+        if new < added[best]:
+            room, target = capacity, len(held)
+            held.append([])
         else:
             room = best + size
             target = rooms[room].pop()
             counts[room] -= 1
-        bins[i], offsets[i] = target, capacity - room
-        left = room - size
-        if left:
+        held[target].append(i)
+        if left := room - size:
             rooms[left].append(target)
             counts[left] += 1
+    bins = np.zeros(len(sizes), np.int64)
+    offsets = np.zeros(len(sizes), np.int64)
+    for number, items in enumerate(_finished(held, sizes, capacity)):
+        bins[items] = number
+        offsets[items] = np.cumsum(sizes[items]) - sizes[items]
     return bins, offsets
 
 
+def _finished(held: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins with room, and as many full ones with the most items (small ones fit well), packed anew if fewer bins then do."""
+    filled = [int(sizes[items].sum()) for items in held]
+    still_open = [k for k, n in enumerate(filled) if n < capacity]
+    full = sorted((k for k, n in enumerate(filled) if n == capacity), key=lambda k: -len(held[k]))
+    chosen = still_open + full[: len(still_open)]
+    # The sizes alone may say that no bin can be saved.
+    if len(chosen) - -(-sum(filled[k] for k in chosen) // capacity) < 1:
+        return held
+    again = _fullest(sorted((i for k in chosen for i in held[k]), key=lambda i: -sizes[i]), sizes.tolist(), capacity)
+    if len(again) >= len(chosen):
+        return held
+    gone = set(chosen)
+    return [items for k, items in enumerate(held) if k not in gone] + again
+
+
+def _fullest(items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins made one by one: the largest item left, and those others that together leave least room. Items: larger first."""
+    out = []
+    while items:
+        room = capacity - sizes[items[0]]
+        rest = [i for i in items[1:] if sizes[i] <= room]
+        # Bit n: some of the items so far have the size n together.
+        within = (1 << (room + 1)) - 1
+        reached = [1]
+        for i in rest:
+            reached.append((reached[-1] | (reached[-1] << sizes[i])) & within)
+            if reached[-1] >> room:
+                break
+        size = reached[-1].bit_length() - 1
+        taken = [items[0]]
+        for k in range(len(reached) - 1, 0, -1):
+            if not reached[k - 1] >> size & 1:
+                taken.append(rest[k - 1])
+                size -= sizes[rest[k - 1]]
+        out.append(taken)
+        gone = set(taken)
+        items = [i for i in items if i not in gone]
+    return out
+
+
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, text: str = "text") -> DataFrame:
     """Token ids of each whole text and ``end_id``, cut into pieces of ``capacity`` only if there are more of them."""
     end = struct.pack("<I", end_id)

@@ -1,4 +1,4 @@
-"""Small things that several operators need: written tables in the shared folder, keys of rows, and sizes."""
+"""Small things that several operators need: written tables in the shared folder, and keys of rows."""
 
 import uuid
 
@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from spoolsift.sources.store import kept, work_folder
 
-__all__ = ["Scratch", "kept", "parts_by_size", "text_key", "work_folder"]
-
-BYTES_A_PART = 64 << 20
+__all__ = ["Scratch", "kept", "text_key", "work_folder"]
 
 
 def text_key(text: str = "text") -> Column:
@@ -33,10 +31,3 @@ class Scratch:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def parts_by_size(df: DataFrame, bytes_each: int = BYTES_A_PART) -> int:
-    """Partitions for a shuffle of whole rows, from the bytes that the optimizer expects, as many as the session's at least."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    spark: SparkSession = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))

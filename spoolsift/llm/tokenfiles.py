@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spoolsift.llm import encoding
 from spoolsift.llm.encoding import encoder
-from spoolsift.llm.tables import kept, parts_by_size, text_key, work_folder
+from spoolsift.llm.tables import kept, text_key, work_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(encoding)
@@ -130,11 +130,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, folder:
     was run again leaves another file behind that is not in it. A null text is empty and has its end id only; null
     ids come first; rows of one id follow each other by a hash of their text, so that one id may hold any share of the
     rows; repeated rows are written as often. An empty table gives an empty table of files. Extra columns are ignored.
-    ``folder`` is on storage that all executors share, by default in that of spark.checkpoint.dir.
+    ``folder`` is on storage that all executors share, by default in that of spark.checkpoint.dir. Ranges become files, as
+    many as the session's shuffle partitions at most; a task writes as it reads, so a range of any size is fine.
     """
     folder = folder or f"{work_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), text_key().alias("_key"))
-    dealt = rows.repartitionByRange(parts_by_size(docs), "doc_id", "_key").sortWithinPartitions("doc_id", "_key")
+    dealt = rows.repartitionByRange("doc_id", "_key").sortWithinPartitions("doc_id", "_key")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -166,7 +167,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, folder:
 def read_token_files(files: DataFrame) -> DataFrame:
     """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32).
 
-    One row of ``files`` is one file, so the running sum over them is short. A damaged frame raises.
+    One row of ``files`` is one file, so the running sum over them is short. A damaged frame raises. Documents come as they were
+    written: null ids stay null, those of empty texts have the end id only, repeated rows come as often; no file, no row.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -8,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from spoolsift.llm import counts, packing, tokenfiles
+from spoolsift.llm import counts, encoding, packing, tokenfiles
 from spoolsift.llm.encoding import Encoder
 
 from .conftest import ODD
@@ -125,6 +126,60 @@ def test_sum_of_squares_fills_sequences():
     assert packing.pack(np.zeros(0, np.int64), 100)[0].size == 0
 
 
+def test_finishing_reaches_the_least_number_of_sequences():
+    """No packing of these sizes needs fewer than 1,536: a size x of 100 may count as floor(3x) / 2, or as x where 3x is whole."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 101, 3000)
+    least = -(-sum(3 * s if 3 * s % 100 == 0 else 150 * (3 * s // 100) for s in sizes.tolist()) // 300)
+    assert least == 1536
+    bins, _ = packing.pack(sizes, 100)
+    assert bins.max() + 1 == least
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rule_places_by_the_sum_of_squares(monkeypatch, seed):
+    monkeypatch.setattr(packing, "_finished", lambda held, sizes, capacity: held)
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 40))
+    sizes = rng.integers(1, capacity + 1, 200)
+    bins, offsets = packing.pack(sizes, capacity)
+    fill = []
+    for i, size in enumerate(sizes.tolist()):
+
+        def squares(k):
+            after = [n + size * (j == k) for j, n in enumerate([*fill, 0])]
+            counts = defaultdict(int)
+            for n in after:
+                counts[n] += 0 < n < capacity
+            return sum(c * c for c in counts.values())
+
+        best = min(squares(k) for k, n in enumerate([*fill, 0]) if n + size <= capacity)
+        k = int(bins[i])
+        assert squares(k) == best and offsets[i] == (fill[k] if k < len(fill) else 0)
+        fill = [*fill, 0] if k == len(fill) else fill
+        fill[k] += size
+
+
+def test_a_vocabulary_with_other_steps_is_left_to_the_library(vocabularies, tmp_path):
+    steps = json.loads(Tokenizer.from_file(vocabularies["byte_bpe_50k.json"]).to_str())
+    steps["normalizer"] = {"type": "Replace", "pattern": {"String": "e T"}, "content": "x"}
+    path = str(tmp_path / "other.json")
+    (tmp_path / "other.json").write_text(json.dumps(steps))
+    encoder, library = Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.cuts
+    for text in [*odd_texts(50), "the The end"]:
+        assert encoder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_memory_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(encoding, "KEPT", 3)
+    asked = []
+    memory = encoding.Memory(lambda key: asked.append(key) or key.encode())
+    for key in "abcabdaeafaga":
+        assert memory[key] == key.encode()
+    assert asked.count("a") == 1 and len(memory) + len(memory.older) <= 6
+
+
 def test_rule_keeps_rooms_varied():
     # Room 4 is there twice, room 6 once: 3 goes where it leaves fewer squares.
     bins, _ = packing.pack(np.array([6, 6, 4, 3]), 10)
