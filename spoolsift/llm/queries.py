@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.llm import counts, decontamination, licenses, minhash, packing, quality, substrings, tokenfiles, toxicity, warc
+from spoolsift.llm import chat, counts, decontamination, licenses, minhash, packing, quality, repair, substrings, tokenfiles, toxicity, vectors, warc
+from spoolsift.llm.tables import kept
 
 
 def vocabulary(name: str) -> str:
@@ -109,6 +110,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    control = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    windows = chat.chat_windows(turns.unionByName(control), vocabulary("byte_bpe_50k.json"), budget=4096, history=512)
+    return chat.digests(kept(windows, "windows"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -122,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_packing,
         op10_warc,
+        op11_chat_windows,
+        op12_conversation_repair,
+        op13_vector_codes,
     )
 }
 
