@@ -28,7 +28,7 @@ PIECES = re.compile(
 _PLAIN = re.compile(f" ?[{LETTERS}]+")
 
 # Entries of each of a worker's two generations of remembered pieces, and the longest piece worth remembering.
-KEPT = 400_000
+KEPT = 300_000
 LONGEST = 64
 
 # Steps before the model that cut wherever PIECES does and leave letters as letters. How two public files state them.

@@ -5,6 +5,7 @@ squared counts of open sequences per room left is smallest. It keeps the rooms v
 find one that fits exactly.
 """
 
+import bisect
 import struct
 import sys
 import zlib
@@ -86,25 +87,28 @@ def _finished(held: list[list[int]], sizes: np.ndarray, capacity: int) -> list[l
 def _fullest(items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins made one by one: the largest item left, and those others that together leave least room. Items: larger first."""
     out = []
-    while items:
-        room = capacity - sizes[items[0]]
-        rest = [i for i in items[1:] if sizes[i] <= room]
+    # Sizes downwards, so that those that fit are found by bisection.
+    order, down = list(items), [-sizes[i] for i in items]
+    while order:
+        room = capacity + down[0]
+        fits = bisect.bisect_left(down, -room, 1)
         # Bit n: some of the items so far have the size n together.
         within = (1 << (room + 1)) - 1
         reached = [1]
-        for i in rest:
-            reached.append((reached[-1] | (reached[-1] << sizes[i])) & within)
+        for k in range(fits, len(down)):
+            reached.append((reached[-1] | (reached[-1] << -down[k])) & within)
             if reached[-1] >> room:
                 break
         size = reached[-1].bit_length() - 1
-        taken = [items[0]]
+        taken = []
         for k in range(len(reached) - 1, 0, -1):
             if not reached[k - 1] >> size & 1:
-                taken.append(rest[k - 1])
-                size -= sizes[rest[k - 1]]
-        out.append(taken)
-        gone = set(taken)
-        items = [i for i in items if i not in gone]
+                taken.append(fits + k - 1)
+                size += down[fits + k - 1]
+        taken.append(0)
+        out.append([order[k] for k in reversed(taken)])
+        for k in taken:
+            del order[k], down[k]
     return out
 
 
