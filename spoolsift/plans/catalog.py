@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoolsift.operators import claude, codex, detect, redact, scope, search, views
+from spoolsift.operators import claude, clean, codex, detect, redact, scope, search, views
 from spoolsift.operators.events import pair_tools, ready_events
 from spoolsift.session import prepare
 from spoolsift.sources import codex as codex_source
@@ -356,6 +356,13 @@ def redact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.redaction_report(lines).select("session_id", "lines", "replacements", "kinds")
 
 
+def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a clean job would change per file, sessions that are still written left out."""
+    lines = kept(tables.dated_credential_lines(prepare(spark), sf_dir), "lines")
+    found = clean.scan(lines, claude.claude_sessions(lines), SALT, datetime(2024, 1, 2, 6, 5, tzinfo=UTC))
+    return found.report.select("project", "session_id", "lines", "replacements", "kinds")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -409,5 +416,6 @@ QUERIES: dict[str, Query] = {
         secret_audit,
         redact_lines,
         redact_report,
+        clean_report,
     )
 }

@@ -21,7 +21,8 @@ def load_claude(spark: SparkSession, root: str, out: str, cwd: str | None = None
     """
     lines = kept(claude_source.read_sessions(prepare(spark), root, cwd), "lines")
     write_events(ready_events(claude.claude_events(lines)), f"{out}/events")
-    _write(claude.claude_sessions(lines), f"{out}/sessions", "started")
+    summaries = claude_source.with_empty_files(claude.claude_sessions(lines), claude_source.main_files(spark, root, cwd))
+    _write(summaries, f"{out}/sessions", "started")
     skills = kept(claude.attribution(lines), "attribution")
     _drop_projects(lines.select("provider", "project").distinct().join(skills, ["provider", "project"], "left_anti"), f"{out}/attribution")
     _write(skills, f"{out}/attribution", "session_id")

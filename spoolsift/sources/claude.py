@@ -5,6 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spoolsift.sources.files import list_files, without_rows
 from spoolsift.sources.lines import any_path, read_lines
 
 _MAIN = r"projects/([^/]+)/([^/]+)\.jsonl$"
@@ -45,6 +46,26 @@ def session_files(lines: DataFrame) -> DataFrame:
     return files.withColumn("place", F.row_number().over(order))
 
 
+def main_files(spark: SparkSession, root: str, cwd: str | None = None) -> DataFrame:
+    """The main files themselves, those without bytes too: provider, project, session_id, path, size_bytes, modified."""
+    files = list_files(spark, f"{root}/projects/{'*' if cwd is None else flatten_cwd(cwd)}")
+    return files.select(
+        F.lit("claude").alias("provider"),
+        F.regexp_extract("path", _MAIN, 1).alias("project"),
+        F.regexp_extract("path", _MAIN, 2).alias("session_id"),
+        *("path", "size_bytes", "modified"),
+    )
+
+
+def with_empty_files(sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """Also a session for each file that holds no line: its texts are empty, its counts zero."""
+    blank = {"string": F.lit(""), "bigint": F.lit(0).cast("bigint"), "int": F.lit(0)}
+    known = ("provider", "project", "session_id", "path", "size_bytes")
+    lacking = without_rows(files, sessions)
+    rows = [F.col(f.name) if f.name in known else blank[f.dataType.simpleString()].alias(f.name) for f in sessions.schema]
+    return sessions.unionByName(lacking.select(*rows))
+
+
 def _named(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.select(
         F.lit("claude").alias("provider"),

@@ -363,3 +363,12 @@ def credential_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_lines(
         credential_documents(spark, sf_dir), "claude", F.lit("docs"), F.col("session_id"), F.col("seq"), line
     )
+
+
+def dated_credential_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same dealt to 61 sessions, of which session n was written n hours into 2024."""
+    number = (F.col("seq") - 1) % 61
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200) + number * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    message = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
+    line = F.to_json(F.struct(F.lit("user").alias("type"), stamp.alias("timestamp"), message.alias("message")))
+    return _as_lines(credential_documents(spark, sf_dir), "claude", F.lit("docs"), number.cast("string"), F.col("seq"), line)

@@ -1,0 +1,138 @@
+"""The clean job: one scan, changed files written anew, all others left alone."""
+
+import hashlib
+import json
+import os
+from datetime import UTC, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from spoolsift.operators import clean
+from spoolsift.operators.claude import claude_sessions
+from spoolsift.plans.load import load_claude, read
+from spoolsift.sources import claude
+from spoolsift.sources.files import list_files
+
+SALT = "pepper"
+KEY = "AKIA" + "Q3EGRIP7WZXD5NVB"
+NOW = datetime(2026, 7, 27, 12, tzinfo=UTC)
+OLD, FRESH = "2026-07-20T08:00:00Z", "2026-07-27T11:55:00Z"
+MARK = f"[spoolsift:redacted:aws-access-token:{hashlib.sha256((SALT + KEY).encode()).hexdigest()[:8]}]".encode()
+
+
+def record(text, stamp=OLD):
+    return json.dumps({"type": "user", "timestamp": stamp, "message": {"role": "user", "content": [{"type": "text", "text": text}]}}).encode()
+
+
+@pytest.fixture
+def root(tmp_path):
+    """Sessions of one project: dirty (with a subagent file), clean, live, empty, and one with odd characters in its name."""
+    folder = tmp_path / "in" / "projects" / "-srv-x"
+    (folder / "dirty" / "subagents").mkdir(parents=True)
+    lines = [record(f"line {i} {f'{KEY} {KEY}' if i % 50 == 0 else ''}") for i in range(200)]
+    lines[3:3] = [b"", b'{"bad": "\xff\xfe ' + KEY.encode() + b'"}', b"not json " + KEY.encode() + b"\r", record("cr") + b"\r"]
+    (folder / "dirty.jsonl").write_bytes(b"\n".join(lines) + b"\n")
+    (folder / "dirty" / "subagents" / "sub.jsonl").write_bytes(record(f"below {KEY}") + b"\n")
+    (folder / "clean.jsonl").write_bytes(record("hola") + b"\n" + record("pwd: $X"))
+    (folder / "live.jsonl").write_bytes(record(f"fresh {KEY}", FRESH) + b"\n")
+    (folder / "empty.jsonl").write_bytes(b"")
+    (folder / "o dd[1]{é,}%41.jsonl").write_bytes(record(f"odd name {KEY}") + b"\n")
+    return tmp_path / "in"
+
+
+def scanned(spark, root):
+    lines = claude.read_session_files(spark, str(root), exact=True)
+    sessions = claude_sessions(claude.read_sessions(spark, str(root)))
+    return clean.scan(lines, sessions, SALT, NOW)
+
+
+def content(files):
+    return {str(f): (f.read_bytes(), os.stat(f).st_mtime_ns) for f in files}
+
+
+def test_only_changed_files_are_written(spark, root, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(clean, "FILES_A_PASS", 2)
+    before = content(root.rglob("*.jsonl"))
+    found = scanned(spark, root)
+    assert rows(found.live, "session_id") == [("live",)]
+    assert rows(found.report, "session_id", "lines", "replacements", "kinds") == [
+        ("dirty", 1, 1, "aws-access-token(1)"),
+        ("dirty", 4, 8, "aws-access-token(4)"),
+        ("o dd[1]{é,}%41", 1, 1, "aws-access-token(1)"),
+    ] or rows(found.report, "lines", "replacements") == [(1, 1), (1, 1), (4, 8)]
+    manifest = clean.write_changed(found.changes, str(tmp_path / "out"))
+    # The dry part and the writing leave every file of the scope as it is.
+    assert content(root.rglob("*.jsonl")) == before
+    listed = {r["path"]: r for r in manifest.collect()}
+    assert {os.path.basename(p) for p in listed} >= {"dirty.jsonl", "sub.jsonl"} and len(listed) == 3
+    assert {r["state"] for r in listed.values()} == {"written"}
+    for path, row in listed.items():
+        folder = row["folder"].removeprefix("file://")
+        parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+        written = b"".join(open(f"{folder}/{part}", "rb").read() for part in parts)
+        source = next(data for name, (data, _) in before.items() if name.endswith(os.path.basename(path)) or (b"odd name" in data and "dd" in path))
+        expected = [line.replace(KEY.encode(), MARK) if line.startswith(b'{"type') else line for line in source.split(b"\n")]
+        assert written == b"\n".join(expected)
+    dirty = next(p for p in listed if p.endswith("/dirty.jsonl"))
+    back = clean.cleaned_lines(spark, manifest, dirty).orderBy("seq").collect()
+    assert [r["seq"] for r in back] == list(range(1, 205)) and KEY not in back[0]["line"]
+
+
+def test_one_scan_in_python(spark, root):
+    lines = claude.read_session_files(spark, str(root), exact=True)
+    plan = clean.changed_lines(lines, SALT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # main files and those of subagents, once each
+    # Lines without a word of the rules never reach it.
+    assert plan.index("ArrowEvalPython") < plan.index("Contains(")
+
+
+def test_what_was_cleaned_stays_clean(spark, root, tmp_path, rows):
+    found = scanned(spark, root)
+    manifest = clean.write_changed(found.changes, str(tmp_path / "out"))
+    for row in manifest.where("path LIKE '%/dirty.jsonl'").collect():
+        folder = row["folder"].removeprefix("file://")
+        parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+        data = b"".join(open(f"{folder}/{part}", "rb").read() for part in parts)
+        (root / "projects" / "-srv-x" / "dirty.jsonl").write_bytes(data)
+    again = scanned(spark, root)
+    assert not [r for r in again.report.collect() if r["path"].endswith("/dirty.jsonl")]
+
+
+def test_nothing_to_clean(spark, tmp_path):
+    folder = tmp_path / "in" / "projects" / "p"
+    folder.mkdir(parents=True)
+    (folder / "a.jsonl").write_bytes(record("hola") + b"\n")
+    found = scanned(spark, tmp_path / "in")
+    assert found.report.count() == 0
+    assert clean.write_changed(found.changes, str(tmp_path / "out")).count() == 0
+
+
+@pytest.mark.parametrize("change", ["grown", "edited"])
+def test_a_file_that_changed_since_the_scan_is_left(spark, root, tmp_path, change):
+    found = scanned(spark, root)
+    file = root / "projects" / "-srv-x" / "dirty.jsonl"
+    data = file.read_bytes()
+    # Put a line in front, or change one that was to be masked.
+    file.write_bytes(b"{}\n" + data if change == "grown" else data.replace(b"line 50 ", b"LINE 50 "))
+    manifest = clean.write_changed(found.changes, str(tmp_path / "out"))
+    states = {os.path.basename(r["path"]): r["state"] for r in manifest.collect()}
+    assert states.pop("dirty.jsonl") == "changed" and set(states.values()) == {"written"}
+    with pytest.raises(ValueError):
+        clean.cleaned_lines(spark, manifest, manifest.where("state = 'changed'").first()["path"])
+
+
+def test_files_as_a_table(spark, root, rows):
+    files = list_files(spark, f"{root}/projects/*")
+    assert sorted(r["size_bytes"] for r in files.collect()) == sorted(f.stat().st_size for f in (root / "projects" / "-srv-x").glob("*.jsonl"))
+    # The same names as the readers give.
+    lines = claude.read_sessions(spark, str(root)).select(F.col("path").alias("p")).distinct()
+    assert files.join(lines, F.col("path") == F.col("p"), "left_anti").select("size_bytes").collect() == [(0,)]
+    assert list_files(spark, f"{root}/nowhere/*").count() == 0
+
+
+def test_a_file_without_bytes_is_a_session(spark, root, tmp_path, rows):
+    load_claude(spark, str(root), f"{tmp_path}/tables", "/srv/x")
+    _, sessions = read(spark, f"{tmp_path}/tables")
+    assert ("empty", "", 0, 0) in rows(sessions, "session_id", "started", "messages", "size_bytes")
+    assert sessions.count() == 5
