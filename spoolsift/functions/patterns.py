@@ -1,10 +1,11 @@
 """Smart-case patterns: checked on the driver, run by Spark's own regex engine.
 
 Patterns are written the way Python's ``re`` reads them. The few spellings the
-JVM reads differently are rewritten. Python itself searches, in Arrow batches,
-where the JVM would not do the same: patterns that cannot be rewritten, those
-that repeat a group the JVM would descend into once per repetition, and, for patterns
-with classes that differ beyond ASCII, the texts with such characters.
+JVM reads differently are rewritten. ASCII letters, sets and ranges of them match the same
+characters in both, in any case too, so a plain pattern never leaves the JVM. Python itself
+searches, in Arrow batches, where the JVM would not do the same: patterns that cannot be
+rewritten, those that repeat groups so often that the JVM, which descends once per repetition, might
+run out of stack, and, for patterns with classes that differ beyond ASCII, the texts with such characters.
 """
 
 import re
@@ -25,7 +26,7 @@ def check(pattern: str, fixed: bool = False) -> None:
         return
     try:
         re.compile(pattern)
-    except re.error as exc:
+    except (re.error, RecursionError, OverflowError) as exc:
         raise ValueError(f"bad regex {pattern!r}: {exc}; quote metacharacters or match it as fixed text") from exc
 
 
@@ -77,19 +78,35 @@ def to_jvm(pattern: str) -> str | None:
     return "".join(out)
 
 
-# Escapes and classes stand for one character each; a group that repeats without end, or 50 times and more.
+# Escapes and classes stand for one character each.
 _SINGLE = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.S)
-_REPEATED_GROUP = re.compile(r"\)(?:[*+]|\{\d*,\}|\{(?:\d*,)?(?:[5-9]\d|\d{3,})\})")
-
-
-def descends(pattern: str) -> bool:
-    """Does it repeat a group, often or without end? The JVM's stack grows with each repetition."""
-    return _REPEATED_GROUP.search(_SINGLE.sub("x", pattern)) is not None
+_PARENTHESIS = re.compile(r"\(|\)(?:(?P<endless>[*+])|\{(?P<least>\d*)(?P<range>,?)(?P<most>\d*)\})?")
+# Repetitions of groups, and groups in each other, that the JVM's stack is trusted with.
+MOST_DESCENTS = 50
+
+
+def descents(pattern: str) -> float:
+    """How often groups repeat at most, one inside another, and how deep they lie: the JVM's stack grows with both."""
+    inner: list[float] = [1]
+    deepest = 1
+    for part in _PARENTHESIS.finditer(_SINGLE.sub("x", pattern)):
+        if part[0] == "(":
+            inner.append(1)
+            deepest = max(deepest, len(inner))
+            continue
+        times = 1.0
+        if part["endless"] or (part["range"] and not part["most"]):
+            times = float("inf")
+        elif part["most"] or part["least"]:
+            times = int(part["most"] or part["least"])
+        times *= inner.pop() if len(inner) > 1 else 1
+        inner[-1] = max(inner[-1], times)
+    return max(inner[0], deepest)
 
 
 def differs(pattern: str) -> bool:
-    """Has it classes, or letters whose case counts, that both engines read alike for ASCII texts only?"""
-    return bool(re.search(r"\\[wWsSbBdD]", pattern)) or not pattern.isascii() or "(?" in pattern
+    """Has it classes, letters beyond ASCII (spelt or escaped) or repeated finds, which both engines read alike for ASCII texts only?"""
+    return bool(re.search(r"\\[wWsSbBdDxuU1-9]", pattern)) or not pattern.isascii() or "(?" in pattern
 
 
 def matches(text: Column, pattern: str, fixed: bool = False, ignore_case: bool = False) -> Column:
@@ -98,12 +115,12 @@ def matches(text: Column, pattern: str, fixed: bool = False, ignore_case: bool =
     loose = ignores_case(pattern, ignore_case)
     if fixed:
         return F.contains(F.lower(text), F.lit(pattern.lower())) if loose else F.contains(text, F.lit(pattern))
-    jvm = None if descends(pattern) else to_jvm(pattern)
+    jvm = None if descents(pattern) >= MOST_DESCENTS else to_jvm(pattern)
     if jvm is None:
         return _python_search(pattern, loose)(text)
     # U: Unicode classes and case, d: only \n ends a line, both as in Python.
     plain = F.rlike(text, F.lit(("(?idU)" if loose else "(?dU)") + jvm))
-    if not (loose or differs(pattern)):
+    if not differs(pattern):
         return plain
     # Python takes the separators from 1C to 1F for white space too.
     other = F.rlike(text, F.lit(r"[^\x00-\x1B\x20-\x7F]"))

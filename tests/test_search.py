@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from spoolsift.functions.patterns import matches, to_jvm
+from spoolsift.functions.patterns import descents, matches, to_jvm
 from spoolsift.functions.text import middle_cut, preview
 from spoolsift.operators import search
 
@@ -29,6 +29,50 @@ def test_patterns_match_as_in_python(spark, pattern):
     assert got == {t for t in TEXTS if rx.search(t)}
 
 
+ANY_CASE = ["i", "k", "s", "x", "[aeiou]s", "[a-z]", "[^a-z]", "[^k]", "[h-j]", "[^i-s]", "[g-z_]$", "^[i]", ".", "a|s", "i{1,2}", r"\.|[is]", "k?s"]
+
+
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_plain_patterns_match_every_character_as_in_python(spark, ignore_case):
+    """Each character by itself, and behind a letter: so the JVM may search any text for a plain pattern."""
+    chars = [chr(i) for i in range(0x20000) if not 0xD800 <= i <= 0xDFFF] + ["\U00020000", "\U000e0041", "\U0010ffff"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(chars)], "i int, c string").repartition(8).cache()
+    for pattern in ANY_CASE + (["K", "[A-Z]", "[^I-S]"] if not ignore_case else ["K", "[A-Z]s"]):
+        rx = re.compile(pattern, re.I if ignore_case or pattern == pattern.lower() else 0)
+        for text, made in ((F.col("c"), str), (F.concat(F.lit("a"), "c"), "a{}".format)):
+            got = {r["i"] for r in df.where(matches(text, pattern, False, ignore_case)).select("i").collect()}
+            assert got == {i for i, c in enumerate(chars) if rx.search(made(c))}, pattern
+    df.unpersist()
+
+
+def python_stages(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_plain_patterns_stay_in_the_jvm(spark, as_events, as_sessions):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    for pattern in ("th[aeiou]r", "webhook", "Web", "a.*b", r"a\.b", "(a|b){2}c", "x{3}"):
+        assert python_stages(df.where(matches(F.col("t"), pattern))) == 0, pattern
+    for pattern in (r"\bna", "é", r"\u00e9", r"(.)\1", "(a|b)+c", "((a|b){10}){10}c"):
+        assert python_stages(df.where(matches(F.col("t"), pattern))) == 1, pattern
+    table = search.search_table(as_events(("s", 1, "user", "text", "naïve thor")), as_sessions(("s", "2026-01-01")), "th[aeiou]r", datetime(2026, 1, 1))
+    assert python_stages(table) == 0 and table.count() == 1
+
+
+@pytest.mark.parametrize("pattern", ["((a|b){49}){49}c", "(((a|b){9}){9}){9}c", "(" * 60 + "ab" + ")" * 60 + "c", "(?:(?:a|b){7}){7}c"])
+def test_nested_groups_do_not_run_out_of_stack(spark, pattern):
+    texts = ["ab" * 3_000 + "c", "ab" * 1_300, "ab" * 60 + "abc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rx = re.compile(pattern)
+    assert [r["i"] for r in df.where(matches(F.col("t"), pattern)).orderBy("i").collect()] == [i for i, t in enumerate(texts) if rx.search(t)]
+
+
+def test_groups_are_counted_one_inside_another():
+    assert descents("abc") == descents("(a)(b){3}|[(]{99}") - 2 == 1
+    assert descents("((a){7}b){8}") == 56 and descents("(a)+") == descents("(a){3,}") == float("inf")
+    assert descents(r"\(a\)+[)]*") == 1 and descents("(" * 70 + ")" * 70) == 71
+
+
 def test_fixed_text_and_flags(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
 
