@@ -33,23 +33,58 @@ _BLOCK = (
 )
 
 
+# What only the summary of a session needs.
+_SUMMARY = "isSidechain variant, isApiErrorMessage variant, effort string, cwd string, gitBranch string, attributionSkill variant"
+
+
+def claude_records(lines: DataFrame) -> DataFrame:
+    """All that events, summaries and attribution need, read from the lines in one parse; keep it as a table.
+
+    Event rows have a block from 0 on. Each line also has a row with block -1 and without text, whose ``record`` holds what the summary
+    of its session is made of.
+    """
+    return _split(_with_facts(parsed(lines, f"{_RECORD}, {_SUMMARY}")), "record")
+
+
+def events_of(records: DataFrame) -> DataFrame:
+    """The events of a table of records."""
+    return records.where("block >= 0").select(*EVENT_COLUMNS)
+
+
+def sessions_of(records: DataFrame) -> DataFrame:
+    """The summaries of a table of records; only its narrow columns are read."""
+    return _summaries(_of_lines(records))
+
+
+def attribution_of(records: DataFrame) -> DataFrame:
+    """Records per session and skill of a table of records."""
+    return _by_skill(_of_lines(records))
+
+
+def _of_lines(records: DataFrame) -> DataFrame:
+    return records.where("block < 0").select("provider", "project", "session_id", KEY, "seq", "record.*")
+
+
 def claude_events(lines: DataFrame) -> DataFrame:
     """One event per content block, or one per record without blocks."""
+    return _split(parsed(lines, _RECORD)).select(*EVENT_COLUMNS)
+
+
+def _split(parsed_lines: DataFrame, *also: str) -> DataFrame:
+    """Rows of events; with ``also`` given, one more row per line that carries those columns and has block -1."""
     empty, kind = F.lit(""), F.col("type")
 
     def text(name: str) -> Column:
         return F.coalesce(name, empty)
 
     talk, attachment = kind.isin("user", "assistant"), F.col("rec.attachment")
-    records = parsed(lines, _RECORD).select(
-        "*", text("rec.type").alias("type"), get(F.col("rec.message"), "$.content").alias("said")
-    )
+    records = parsed_lines.select("*", text("rec.type").alias("type"), get(F.col("rec.message"), "$.content").alias("said"))
     records = records.withColumn("items", F.when(talk, list_at(F.col("said"), "$")))
     with_block = F.exists("items", lambda v: get(v, "$", "struct<type:string>").isNotNull())
     plain = talk & F.col("items").isNull()
     # What the record says as a whole, used where no block stands for it.
     records = records.select(
-        *("provider", "project", "session_id", "path", "seq", "line"),
+        *("provider", "project", "session_id", "path", "seq", "line", *also),
         text("rec.timestamp").alias("ts"),
         F.when(kind == "user", "user")
         .when(kind == "assistant", "asst")
@@ -80,11 +115,16 @@ def claude_events(lines: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<variant>"))
         .alias("blocks"),
     )
+    if also:
+        # The row of the line itself comes first.
+        records = records.withColumn("blocks", F.concat(F.array(F.lit(None).cast("variant")), "blocks"))
+    own = F.col("at") < 0
     split = (
         # The outer form spares Spark a filter on the array, for which it would parse every line twice.
         records.select("*", F.posexplode_outer("blocks").alias("at", "item"))
         .where("at IS NOT NULL")
         .where(F.col("item").isNull() | get(F.col("item"), "$", "struct<type:string>").isNotNull())
+        .withColumn("at", F.col("at") - (1 if also else 0))
         .withColumn("b", get(F.col("item"), "$", _BLOCK))
         .withColumn("block_type", text("b.type"))
     )
@@ -101,7 +141,8 @@ def claude_events(lines: DataFrame) -> DataFrame:
         .when(is_result, "result")
         .otherwise(block_type)
         .alias("kind"),
-        F.when(~is_block, F.col("whole_text"))
+        F.when(own, F.lit(None))
+        .when(~is_block, F.col("whole_text"))
         .when(is_text, text("b.text"))
         .when(block_type == "thinking", text("b.thinking"))
         .when(is_call, _argument())
@@ -116,8 +157,9 @@ def claude_events(lines: DataFrame) -> DataFrame:
         .otherwise("")
         .alias("tag"),
         F.when(is_call, text("b.id")).when(is_result, text("b.tool_use_id")).alias("call_id"),
-        "line",
-    ).select(*EVENT_COLUMNS)
+        F.when(~own, F.col("line")).alias("line"),
+        *[F.when(own, F.col(name)).alias(name) for name in also],
+    )
 
 
 def skill_of(events: DataFrame) -> DataFrame:
@@ -130,44 +172,49 @@ def skill_of(events: DataFrame) -> DataFrame:
 def claude_sessions(lines: DataFrame) -> DataFrame:
     """One summary row per session file."""
     fields = (
-        "type string, timestamp string, isSidechain variant, isApiErrorMessage variant, isMeta variant, message variant, "
-        "effort string, cwd string, gitBranch string, aiTitle string, customTitle string"
+        "type string, timestamp string, isMeta variant, message variant, aiTitle variant, customTitle variant, " + _SUMMARY
     )
+    facts = _with_facts(parsed(lines, fields))
+    return _summaries(facts.select("provider", "project", "session_id", KEY, "seq", "record.*"))
+
+
+def _with_facts(records: DataFrame) -> DataFrame:
+    """Add ``record``, what one parsed line adds to its session."""
     message = "struct<content:variant,model:string,usage:variant>"
     block = "struct<type:string,text:string,is_error:variant>"
     blank = F.lit("")
-    records = (
-        parsed(lines, fields)
-        .withColumn("message", get(F.col("rec.message"), "$", message))
-        .withColumn("items", list_at(F.col("message.content"), "$"))
+    found = (
+        records.withColumn("_message", get(F.col("rec.message"), "$", message))
+        .withColumn("_items", list_at(F.col("_message.content"), "$"))
         # NULLs stand for what is no object and drop out of every test below.
-        .withColumn("blocks", F.transform("items", lambda v: get(v, "$", block)))
-    )
-    first_text = F.get(F.filter("blocks", lambda b: b["type"] == "text"), 0)["text"]
-    records = records.select(
-        "provider",
-        "project",
-        "session_id",
-        "path",
-        "seq",
-        "size_bytes",
-        F.coalesce("rec.type", blank).alias("type"),
-        F.nullif("rec.timestamp", blank).alias("ts"),
-        truthy(F.col("rec.isSidechain")).alias("sidechain"),
-        truthy(F.col("rec.isApiErrorMessage")).alias("api_error"),
-        truthy(F.col("rec.isMeta")).alias("meta"),
-        F.col("message.model").alias("model"),
-        F.col("rec.effort").alias("effort"),
-        F.coalesce(get(F.col("message.usage"), "$.output_tokens", "bigint"), F.lit(0)).alias("output_tokens"),
-        F.col("rec.cwd").alias("cwd"),
-        F.coalesce("rec.gitBranch", blank).alias("branch"),
-        F.col("rec.aiTitle").alias("ai_title"),
-        F.col("rec.customTitle").alias("custom_title"),
-        F.coalesce(F.size(F.filter("blocks", lambda b: truthy(b["is_error"]))), F.lit(0)).alias("error_blocks"),
-        F.nullif(
-            F.when(F.col("items").isNull(), text_at(F.col("message.content"), "$")).otherwise(first_text), blank
-        ).alias("typed"),
+        .withColumn("_parts", F.transform("_items", lambda v: get(v, "$", block)))
     )
+    first_text = F.get(F.filter("_parts", lambda b: b["type"] == "text"), 0)["text"]
+    facts = {
+        "size_bytes": F.col("size_bytes"),
+        "type": F.coalesce("rec.type", blank),
+        "ts": F.nullif("rec.timestamp", blank),
+        "sidechain": truthy(F.col("rec.isSidechain")),
+        "api_error": truthy(F.col("rec.isApiErrorMessage")),
+        "meta": truthy(F.col("rec.isMeta")),
+        "model": F.col("_message.model"),
+        "effort": F.col("rec.effort"),
+        "output_tokens": F.coalesce(get(F.col("_message.usage"), "$.output_tokens", "bigint"), F.lit(0)),
+        "cwd": F.col("rec.cwd"),
+        "branch": F.coalesce("rec.gitBranch", blank),
+        "ai_title": get(F.col("rec.aiTitle"), "$", "string"),
+        "custom_title": get(F.col("rec.customTitle"), "$", "string"),
+        "error_blocks": F.coalesce(F.size(F.filter("_parts", lambda b: truthy(b["is_error"]))), F.lit(0)),
+        "typed": F.nullif(F.when(F.col("_items").isNull(), text_at(F.col("_message.content"), "$")).otherwise(first_text), blank),
+        "skill": F.when(truthy(F.col("rec.attributionSkill")), word(F.col("rec.attributionSkill"))),
+    }
+    record = F.struct(*[value.alias(name) for name, value in facts.items()])
+    return found.withColumn("record", record).drop("_message", "_items", "_parts")
+
+
+def _summaries(records: DataFrame) -> DataFrame:
+    """Summaries from the facts of each line."""
+    blank = F.lit("")
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
     earliest = F.min_by(F.when(user & ~F.col("meta"), F.col("typed")), _where(user & ~F.col("meta") & F.col("typed").isNotNull()))
     summary = records.groupBy("provider", "project", "session_id", KEY).agg(
@@ -215,9 +262,12 @@ def attribution(lines: DataFrame) -> DataFrame:
     """Records per session and skill."""
     skill = word(F.col("rec.attributionSkill"))
     named = readable(lines, "attributionSkill variant").where(truthy(F.col("rec.attributionSkill")))
-    return named.groupBy("provider", "project", "session_id", KEY, skill.alias("skill")).agg(
-        F.count(F.lit(1)).alias("records")
-    )
+    return _by_skill(named.withColumn("skill", skill))
+
+
+def _by_skill(records: DataFrame) -> DataFrame:
+    named = records.where(F.col("skill").isNotNull())
+    return named.groupBy("provider", "project", "session_id", KEY, "skill").agg(F.count(F.lit(1)).alias("records"))
 
 
 def _where(condition: Column) -> Column:

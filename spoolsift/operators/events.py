@@ -44,15 +44,15 @@ def pair_tools(events: DataFrame, slab: int | None = None) -> DataFrame:
     ).drop("_call", "_result")
 
 
-def ready_events(events: DataFrame) -> DataFrame:
+def ready_events(events: DataFrame, stored: bool = False) -> DataFrame:
     """Freshly parsed events, paired and numbered.
 
-    The parsed events are written to the shared folder first, so no line is
+    The parsed events are written to the shared folder first (unless they are ``stored`` already), so no line is
     parsed twice. Both steps then work on a few narrow columns, and what they
     find is joined to the texts and lines once.
     """
-    stored = kept(events, "events")
+    table = events if stored else kept(events, "events")
     row = [KEY, "seq", "block"]
-    narrow = stored.select(*row, "kind", "tool", "is_error", "tag", "call_id")
+    narrow = table.select(*row, "kind", "tool", "is_error", "tag", "call_id")
     found = number_events(pair_tools(narrow)).select(*row, "pos", "tool", "tag")
-    return stored.drop("tool", "tag").join(found, row)
+    return table.drop("tool", "tag").join(found, row)

@@ -214,10 +214,8 @@ def skill_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All counts of a session in long form."""
-    lines = kept(tables.activity_lines_claude(prepare(spark), sf_dir), "lines")
-    events = claude.claude_events(lines)
-    sessions = claude.claude_sessions(lines)
-    return views.session_stats(events, sessions, claude.attribution(lines))
+    records = kept(claude.claude_records(tables.activity_lines_claude(prepare(spark), sf_dir)), "records")
+    return views.session_stats(claude.events_of(records), claude.sessions_of(records), claude.attribution_of(records))
 
 
 def errors_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

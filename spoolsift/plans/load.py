@@ -19,12 +19,13 @@ def load_claude(spark: SparkSession, root: str, out: str, cwd: str | None = None
 
     All three are laid out by provider and project; ``attribution`` has no files as long as no record names a skill.
     """
-    lines = kept(claude_source.read_sessions(prepare(spark), root, cwd), "lines")
-    write_events(ready_events(claude.claude_events(lines)), f"{out}/events")
-    summaries = claude_source.with_empty_files(claude.claude_sessions(lines), claude_source.main_files(spark, root, cwd))
+    # Each line is parsed once, straight from its file; all three tables come from what that gives.
+    records = kept(claude.claude_records(claude_source.read_sessions(prepare(spark), root, cwd)), "records")
+    write_events(ready_events(claude.events_of(records), stored=True), f"{out}/events")
+    summaries = claude_source.with_empty_files(claude.sessions_of(records), claude_source.main_files(spark, root, cwd))
     _write(summaries, f"{out}/sessions", "started")
-    skills = kept(claude.attribution(lines), "attribution")
-    _drop_projects(lines.select("provider", "project").distinct().join(skills, ["provider", "project"], "left_anti"), f"{out}/attribution")
+    skills = kept(claude.attribution_of(records), "attribution")
+    _drop_projects(records.select("provider", "project").distinct().join(skills, ["provider", "project"], "left_anti"), f"{out}/attribution")
     _write(skills, f"{out}/attribution", "session_id")
 
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from spoolsift.operators import claude
 from spoolsift.operators.claude import attribution, claude_events, claude_sessions, skill_of
 from spoolsift.operators.codex import codex_events, codex_sessions
 from spoolsift.operators.events import pair_tools, ready_events
@@ -336,3 +337,28 @@ def test_a_line_is_a_record_if_python_reads_one(as_lines, spark):
     assert read == {i: json.loads(line.strip()).get("type") for i, line in enumerate(SOUND, 1)}
     report = line_report(table).first()
     assert (report["lines"], report["blank"], report["unreadable"]) == (len(lines), 2, len(BROKEN) + 2)
+
+
+def test_one_parse_gives_what_three_give(spark, as_lines, tmp_path):
+    lines = as_lines(
+        user("typed", cwd="/w", gitBranch="b"),
+        "",
+        "torn {",
+        assistant({"type": "tool_use", "id": "i", "name": "Bash", "input": {"command": "ls"}}, 5, {"type": "text", "text": "t"}, attributionSkill="fmt"),
+        user([{"type": "tool_result", "tool_use_id": "i", "is_error": True, "content": "no"}], isSidechain=1),
+        user([]),
+        {"type": "custom-title", "customTitle": 7},
+        {"type": "ai-title", "aiTitle": None},
+        {"type": "system", "subtype": "x", "content": "c", "isApiErrorMessage": True, "attributionSkill": ""},
+    ).unionByName(as_lines("no record", session="s2"))
+    claude.claude_records(lines).write.parquet(f"{tmp_path}/records")
+    records = spark.read.parquet(f"{tmp_path}/records")
+    for one, other in ((claude.events_of(records), claude_events(lines)), (claude.sessions_of(records), claude_sessions(lines)), (claude.attribution_of(records), attribution(lines))):
+        assert one.columns == other.columns
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert claude.sessions_of(records).count() == 2
+    plan = claude.claude_records(as_lines(user("x")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+    # Summaries read none of the texts.
+    plan = claude.sessions_of(records)._jdf.queryExecution().executedPlan().toString()
+    assert "line:string" not in plan and "text:string" not in plan.replace("context:string", "")
