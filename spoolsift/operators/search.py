@@ -9,7 +9,7 @@ from spoolsift.functions.patterns import matches
 from spoolsift.functions.text import SCAN_BUDGET, event_line, event_number, preview, short_id, title_cell
 from spoolsift.functions.times import is_live
 from spoolsift.model import KEY, slab_of
-from spoolsift.operators.slabs import attach
+from spoolsift.operators.slabs import attach, null_safe, running, sums_before
 from spoolsift.sources.store import BROADCAST_ROWS, kept
 
 SORTS = ("matches", "started")
@@ -85,10 +85,9 @@ def search_sessions(
     most = _most(budget, limit)
     if most is None:
         return rows.orderBy(*order).select("session_id", "short_id")
-    near = rows.orderBy(*order).limit(most)
-    return _within(near.withColumn("_cost", F.length("short_id") + 1), order, budget, limit).select(
-        "session_id", "short_id"
-    )
+    near = rows.orderBy(*order).limit(most).withColumn("_slab", F.lit(0).cast("bigint"))
+    kept_rows = _within(near.withColumn("_cost", F.length("short_id") + 1), [F.col("_slab")], budget, limit)
+    return kept_rows.select("session_id", "short_id")
 
 
 def search_hits(
@@ -177,9 +176,49 @@ def search_context(
     costs = shown.groupBy(KEY, "session_id", "started", "hit_seq", "hit_block").agg(
         (F.sum(width) + 3).alias("_cost")
     )
-    order = [F.desc("started"), F.desc("session_id"), F.desc(KEY), F.asc("hit_seq"), F.asc("hit_block")]
-    kept = _within(costs, order, budget, limit).select(KEY, "hit_seq", "hit_block")
-    return shown.join(kept, [KEY, "hit_seq", "hit_block"], "left_semi").select(*columns)
+    inside = [F.asc("hit_seq"), F.asc("hit_block")]
+    fits = _within(costs.withColumn("_slab", slab_of("hit_seq")), inside, budget, limit).select(KEY, "hit_seq", "hit_block")
+    return shown.join(fits, [KEY, "hit_seq", "hit_block"], "left_semi").select(*columns)
+
+
+def search_context_merged(
+    events: DataFrame,
+    sessions: DataFrame,
+    pattern: str,
+    context: int,
+    fixed: bool = False,
+    ignore_case: bool = False,
+) -> DataFrame:
+    """Every event that is a hit or at most ``context`` events from one, once: windows that overlap or touch are one group.
+
+    ``group`` numbers the groups of a session from 1. Only the hits' places are worked on; texts are read for the rows shown. A
+    session's hits are joined slab by slab, so that one with most of the hits is spread.
+    """
+    hits = kept(find(events, pattern, fixed, ignore_case).select(KEY, "pos"), "hits")
+    slab = slab_of("pos")
+    tagged = hits.withColumn("_slab", slab)
+    ends = tagged.groupBy(KEY, "_slab").agg(F.max("pos").alias("_last"))
+    earlier = Window.partitionBy(KEY).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(KEY, "_slab", F.max("_last").over(earlier).alias("_before"))
+    inside = Window.partitionBy(KEY, "_slab").orderBy("pos")
+    placed = null_safe(tagged, ends, [KEY, "_slab"]).withColumn("_prev", F.coalesce(F.lag("pos").over(inside), F.col("_before")))
+    opens = F.col("_prev").isNull() | (F.col("pos") - F.col("_prev") > 2 * context + 1)
+    grouped = kept(placed.select(KEY, "pos", "_prev", opens.cast("bigint").alias("_opens")), "opens")
+    grouped = running(grouped, [KEY], {"_slab": (slab, False)}, [F.col("pos")], "group", F.col("_opens"))
+    # What the hit before covers is its own, so that every place comes once.
+    first = F.greatest(F.col("pos") - context, F.coalesce(F.col("_prev") + context + 1, F.lit(1)), F.lit(1))
+    covered = F.when(first <= F.col("pos") + context, F.sequence(first, F.col("pos") + context))
+    around = grouped.select(KEY, "group", F.explode(covered).alias("pos"))
+    marked = null_safe(around, hits.withColumn("is_hit", F.lit(True)), [KEY, "pos"], "left")
+    info = sessions.select(KEY, "session_id", "started")
+    shown = null_safe(events.drop("session_id", "started"), marked, [KEY, "pos"])
+    named = attach(shown, info, KEY, slab_of("pos"))
+    return named.select(
+        *("provider", "project", "session_id", KEY, "started", "group", "pos", "seq"),
+        F.coalesce("is_hit", F.lit(False)).alias("is_hit"),
+        *("role", "kind"),
+        event_line().alias("event_line"),
+    )
 
 
 def first_in_scope(
@@ -187,33 +226,16 @@ def first_in_scope(
 ) -> DataFrame:
     """Rows in order of newest session and record until the budget or the row cap is spent.
 
-    Costs are summed per slab first. As a row costs at least one character, the
-    slabs that can hold kept rows number at most the budget (or the cap), and
-    the rows left for the single last window at most that plus one slab. The
+    Costs are summed per slab first, then per day, so that what comes before a row is known from a few sums and no task sees
+    all rows. Slabs that lie behind the cut are left out before the rows are read. The
     rows found are kept, so that the texts are searched once.
     """
     found = kept(found.withColumn("_cost", cost.cast("bigint")), "found")
-    tagged = found.withColumn("_slab", slab_of("seq"))
     info = sessions.select(KEY, "session_id", "started")
-    most = _most(budget, limit)
-    if most is None:
+    if _most(budget, limit) is None:
         return attach(found.drop("session_id", "started", "_cost"), info, KEY, slab_of("seq"))
-    sizes = tagged.groupBy(KEY, "_slab").agg(F.sum("_cost").alias("_chars"), F.count(F.lit(1)).alias("_rows"))
-    order = [F.desc("started"), F.desc("session_id"), F.desc(KEY), F.asc("_slab")]
-    near = sizes.join(info, KEY).orderBy(*order).limit(most)
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumns({"_chars": F.sum("_chars").over(before), "_rows": F.sum("_rows").over(before)})
-    open_still = F.lit(True)
-    if budget > 0:
-        open_still &= F.coalesce("_chars", F.lit(0)) <= budget
-    if limit:
-        open_still &= F.coalesce("_rows", F.lit(0)) < limit
-    near = near.where(open_still).select(KEY, "_slab", "session_id", "started")
-    if most <= BROADCAST_ROWS:
-        near = F.broadcast(near)
-    rows = tagged.drop("session_id", "started").join(near, [KEY, "_slab"])
-    inside = [F.desc("started"), F.desc("session_id"), F.desc(KEY), F.asc("seq"), F.asc("block")]
-    return _within(rows, inside, budget, limit)
+    tagged = found.drop("session_id", "started").withColumn("_slab", slab_of("seq"))
+    return _within(tagged, [F.asc("seq"), F.asc("block")], budget, limit, info)
 
 
 def _most(budget: int, limit: int | None) -> int | None:
@@ -222,13 +244,32 @@ def _most(budget: int, limit: int | None) -> int | None:
     return min(caps) if caps else None
 
 
-def _within(rows: DataFrame, order: list[Column], budget: int, limit: int | None) -> DataFrame:
-    """The exact cut over few rows: the first row always stays, the first overflow ends the list."""
-    ordered = Window.orderBy(*order)
-    placed = rows.withColumns(
+def _within(rows: DataFrame, inside: list[Column], budget: int, limit: int | None, info: DataFrame | None = None) -> DataFrame:
+    """The exact cut, newest session first: the first row always stays, the first overflow ends the list.
+
+    ``rows`` have _slab and _cost and come in the order ``inside`` within it; session_id and started are theirs or those of
+    ``info``. What is before a row is what is before its slab, which is summed up by days, and in its slab.
+    """
+    names = ["session_id", "started"]
+    keys = [KEY, *([] if info is not None else names), "_slab"]
+    sizes = rows.groupBy(*keys).agg(F.sum("_cost").alias("_size"), F.count(F.lit(1)).alias("_count"))
+    sizes = sizes if info is None else sizes.join(info, KEY)
+    order = [F.desc("started"), F.desc("session_id"), F.desc(KEY), F.asc("_slab")]
+    # A row costs a character at least, so slabs beyond that many hold nothing that is shown.
+    sizes = sizes.orderBy(*order).limit(_most(budget, limit))
+    near = sums_before(sizes, F.left("started", F.lit(10)), True, order, {"_chars": "_size", "_rows": "_count"})
+    open_still = F.lit(True)
+    if budget > 0:
+        open_still &= F.col("_chars") <= budget
+    if limit:
+        open_still &= F.col("_rows") < limit
+    near = near.where(open_still).select(KEY, "_slab", *names, "_chars", "_rows")
+    joined = null_safe(rows.drop(*names), near, [KEY, "_slab"])
+    ordered = Window.partitionBy(KEY, "_slab").orderBy(*inside)
+    placed = joined.withColumns(
         {
-            "_place": F.row_number().over(ordered),
-            "_sum": F.sum("_cost").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+            "_place": F.col("_rows") + F.row_number().over(ordered),
+            "_sum": F.col("_chars") + F.sum("_cost").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
     keep = F.lit(True)

@@ -55,6 +55,22 @@ def running(
     return joined.withColumn(out, F.col("_from") + F.sum(amount).over(inside)).select(*df.columns, out)
 
 
+def sums_before(df: DataFrame, group: Column, down: bool, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """Add the sums over all rows before a row, in two levels: whole groups before its own, and rows before it in its group.
+
+    ``group`` sorted (downwards if ``down``) agrees with ``order``; ``sums`` names new columns and what they add up. Only the
+    groups' totals, one row each, are summed in one task.
+    """
+    tagged = df.withColumn("_group", group)
+    totals = tagged.groupBy("_group").agg(*[F.sum(value).alias(name) for name, value in sums.items()])
+    over_groups = Window.orderBy(F.col("_group").desc() if down else F.col("_group").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_group", *[F.coalesce(F.sum(name).over(over_groups), F.lit(0)).alias(f"_from_{name}") for name in sums])
+    inside = Window.partitionBy("_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = null_safe(tagged, starts, ["_group"])
+    before = {name: F.col(f"_from_{name}") + F.coalesce(F.sum(value).over(inside), F.lit(0)) for name, value in sums.items()}
+    return joined.withColumns(before).select(*df.columns, *sums)
+
+
 def whole_group(
     df: DataFrame,
     keys: Sequence[str],

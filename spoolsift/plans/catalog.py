@@ -110,6 +110,13 @@ def search_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_context(events, sessions, "#.*77", 1, limit=0).drop("hit_block")
 
 
+def search_context_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with windows that overlap or touch joined, so that each event comes once."""
+    events, sessions = _paired_users(spark, sf_dir)
+    found = search.search_context_merged(events, sessions, "#.*77", 2)
+    return found.select("session_id", "group", "pos", "seq", "is_hit", "role", "kind", "event_line")
+
+
 def search_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of sessions with a match."""
     events, sessions = _chats(spark, sf_dir)
@@ -263,6 +270,17 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.prompts(codex.codex_events(lines)).select("session_id", "seq", "kind", "text")
 
 
+def prompts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two prompts of every session."""
+    lines = tables.activity_lines_codex(prepare(spark), sf_dir)
+    return views.prompts(codex.codex_events(lines), limit=2).select("session_id", "seq", "kind", "text")
+
+
+def show_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two of the last three selected events."""
+    return _shown(views.show(_users(spark, sf_dir)[0], views.Selection(tail=3), limit=2))
+
+
 def prompts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of a user."""
     events, _ = _users(spark, sf_dir)
@@ -375,6 +393,7 @@ QUERIES: dict[str, Query] = {
         search_capped,
         search_context,
         search_context_all,
+        search_context_merged,
         search_sessions,
         pair_tool_calls,
         normalize_claude,
@@ -399,6 +418,8 @@ QUERIES: dict[str, Query] = {
         commands_capped,
         prompts,
         prompts_all,
+        prompts_capped,
+        show_capped,
         prompt_counts,
         show_skeleton,
         show_errors,

@@ -223,6 +223,16 @@ ORACLES: dict[str, str] = {
     {_LINE} AS event_line FROM p JOIN (SELECT session_id AS hit_session, seq FROM p WHERE regexp_matches(text, '#.*77')) h
     ON p.session_id = hit_session AND p.seq BETWEEN h.seq - 1 AND h.seq + 1""",
     ),
+    "search_context_merged": _with(
+        PAIRED
+        + """,
+h AS (SELECT session_id AS hit_session, seq AS hit FROM p WHERE regexp_matches(text, '#.*77')),
+near AS (SELECT p.*, EXISTS (SELECT 1 FROM h WHERE hit_session = p.session_id AND hit = p.seq) AS is_hit FROM p
+  WHERE EXISTS (SELECT 1 FROM h WHERE hit_session = p.session_id AND p.seq BETWEEN hit - 2 AND hit + 2)),
+begun AS (SELECT *, CASE WHEN seq - lag(seq) OVER (PARTITION BY session_id ORDER BY seq) = 1 THEN 0 ELSE 1 END AS begins FROM near)""",
+        f"""SELECT session_id, CAST(sum(begins) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS "group", seq AS pos, seq,
+    is_hit, role, kind, {_LINE} AS event_line FROM begun""",
+    ),
     "search_sessions": _with(
         CHATS,
         """SELECT DISTINCT session_id, left(session_id, 8) AS short_id FROM c
@@ -358,6 +368,18 @@ s AS (SELECT session_id, min(ts) AS started, max(ts) AS ended,
         """SELECT session_id, seq, kind, text FROM x WHERE role = 'user' AND kind = CASE WHEN session_id IN
     (SELECT session_id FROM x WHERE kind = 'user_message') THEN 'user_message' ELSE 'text' END""",
     ),
+    "prompts_capped": _with(
+        PAYLOAD,
+        """SELECT session_id, seq, kind, text FROM x WHERE role = 'user' AND kind = CASE WHEN session_id IN
+    (SELECT session_id FROM x WHERE kind = 'user_message') THEN 'user_message' ELSE 'text' END
+    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq) <= 2""",
+    ),
+    "show_capped": _with(
+        USERS,
+        """SELECT session_id, seq, role, kind, text FROM (SELECT * FROM u WHERE kind IN ('text', 'tool')
+      QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 3)
+    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq) <= 2""",
+    ),
     "prompts_all": _with(USERS, "SELECT session_id, seq, kind, text FROM u WHERE role = 'user'"),
     "prompt_counts": _with(
         USERS,

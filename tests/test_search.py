@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spoolsift.functions.patterns import descents, matches, to_jvm
 from spoolsift.functions.text import middle_cut, preview
-from spoolsift.operators import search
+from spoolsift.operators import search, views
 
 TEXTS = [
     "plain", "Webhook", "webhook", "É é", "a.b", "aXb", "x{3}", "{", "[a]", "tab\tx", "a&&b", "line\nend", "end\n", "foo1 foo1",
@@ -202,3 +202,42 @@ def test_classes_are_those_of_python_over_all_code_points(spark, pattern):
     found = {r[0] for r in table.where(matches(text, pattern)).select("i").collect()}
     needle = re.compile(pattern, re.I if pattern == pattern.lower() else 0)
     assert found == {i for i in points if needle.search(("x" if "x" in pattern else "") + chr(i))}
+
+
+@pytest.mark.parametrize("context", [0, 1, 4])
+def test_merged_context_over_slabs(corpus, small_slabs, context):
+    events, sessions, _, _ = corpus
+    got = search.search_context_merged(events, sessions, "needle", context).collect()
+    by_session = {}
+    for r in events.collect():
+        by_session.setdefault(r["session_id"], []).append((r["pos"], "needle" in r["text"]))
+    expected = []
+    for sid, places in by_session.items():
+        hits = [p for p, hit in places if hit]
+        group, last = 0, None
+        for pos, hit in sorted(places):
+            if any(abs(pos - h) <= context for h in hits):
+                group += last is None or pos - last > 1
+                last = pos
+                expected.append((sid, pos, group, hit))
+    assert sorted((r["session_id"], r["pos"], r["group"], r["is_hit"]) for r in got) == sorted(expected)
+
+
+def test_no_cut_passes_one_task(corpus):
+    events, sessions, _, _ = corpus
+    for job in (search.search_hits(events, sessions, "needle", limit=10_000_000), search.search_context(events, sessions, "needle", 1, limit=7)):
+        plan = job._jdf.queryExecution().executedPlan().toString()
+        # Every window is within a day's slabs or a slab, but that over the totals of days.
+        firsts = re.findall(r"windowspecdefinition\((\w+)#", plan)
+        assert firsts and set(firsts) <= {"_group", "path"}
+
+
+def test_first_errors_read_no_texts(spark, tmp_path, as_events, as_sessions, rows):
+    made = as_events(("s", 1, "user", "result", "boom", "Bash", "", True, "c1"), ("s", 2, "user", "result", "again", "Bash", "", True, "c1"), ("s", 3, "user", "result", "x" * 500, "", "", True))
+    made.write.parquet(f"{tmp_path}/events")
+    events = spark.read.parquet(f"{tmp_path}/events")
+    counted = views.errors_by_tool(events, as_sessions(("s", "2026-01-01")))
+    assert rows(counted, "tool", "errors") == [("Bash", 1), ("result", 1)]
+    schema = [line for line in counted._jdf.queryExecution().toString().splitlines() if "ReadSchema" in line]
+    assert schema and not any("text:" in line or "line:" in line for line in schema)
+    assert rows(views.error_records(events, 1), "seq", "error_key", "text") == [(1, "c1", "boom")]
