@@ -277,4 +277,4 @@ def _within(rows: DataFrame, inside: list[Column], budget: int, limit: int | Non
         keep &= (F.col("_place") == 1) | (F.col("_sum") <= budget)
     if limit:
         keep &= F.col("_place") <= limit
-    return placed.where(keep)
+    return placed.where(keep).orderBy(*order, *inside)
