@@ -17,6 +17,7 @@ from spoolsift.sources.store import kept
 NOW = datetime(2024, 1, 30, 23, 55, tzinfo=UTC)
 SALT = "a salt for the checks"
 WORD = "th[aeiou]r"
+RESOLVED = (None, "@2", "@4:@2", "@9999", "7", "1", "#1", 'SIGNUP {"k": 5', "not there")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,6 +196,13 @@ def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What handles, ids, beginnings of ids and parts of titles name in each project."""
+    _, sessions = _users(spark, sf_dir)
+    found = scope.resolve_each(kept(scope.handles(sessions), "numbered"), RESOLVED)
+    return found.select("project", "arg", "state", "total", "n", "session_id", "title")
+
+
 def scope_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions started in a time window, numbered afresh."""
     _, sessions = _users(spark, sf_dir)
@@ -405,6 +413,7 @@ QUERIES: dict[str, Query] = {
         history_titles,
         attribution,
         handles,
+        resolve,
         scope_window,
         live_sessions,
         tool_counts,

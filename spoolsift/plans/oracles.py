@@ -291,6 +291,26 @@ begun AS (SELECT *, CASE WHEN seq - lag(seq) OVER (PARTITION BY session_id ORDER
         f"""SELECT project, row_number() OVER (PARTITION BY project ORDER BY started DESC, session_id DESC) AS n,
     session_id, started, messages, errors, {_live('ended')} AS live, left({_flat('title')}, 80) AS title FROM us""",
     ),
+    "resolve": _with(
+        USERS,
+        """SELECT project, arg, CASE total WHEN 0 THEN 'none' ELSE CASE WHEN low IS NULL AND total > 1 THEN 'several' ELSE 'one' END END AS state,
+    total, n, session_id, left(regexp_replace(title, '\\s+', ' ', 'g'), 60) AS title FROM (
+    SELECT r.project, r.arg, r.low, coalesce(count(f.n) OVER (PARTITION BY r.project, r.arg), 0) AS total, f.n, f.session_id, f.title,
+      row_number() OVER (PARTITION BY r.project, r.arg ORDER BY f.n) AS place
+    FROM (SELECT s.project, q.*, least(low, high) >= 1 AND high <= s.sessions AS inside
+        FROM (SELECT project, count(*) AS sessions FROM us GROUP BY ALL) s,
+        (VALUES (NULL, 1, 1), ('@2', 2, 2), ('@4:@2', 2, 4), ('@9999', 9999, 9999), ('7', NULL, NULL), ('1', NULL, NULL),
+          ('#1', NULL, NULL), ('SIGNUP {"k": 5', NULL, NULL), ('not there', NULL, NULL)) q(arg, low, high)) r
+    LEFT JOIN (SELECT *, min(tier) OVER (PARTITION BY project, arg) AS least_tier FROM (
+        SELECT h.*, q.arg, CASE WHEN session_id = q.arg THEN 1 WHEN q.arg IN ('7', '1') AND starts_with(session_id, q.arg) THEN 2
+            WHEN contains(lower(title), lower(q.arg)) THEN 3 END AS tier
+        FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY started DESC, session_id DESC) AS n FROM us) h,
+          (VALUES ('@'), ('7'), ('1'), ('#1'), ('SIGNUP {"k": 5'), ('not there')) q(arg))
+        WHERE tier IS NOT NULL OR arg = '@') f
+      ON f.project = r.project AND ((r.low IS NULL AND f.arg = r.arg AND f.tier = f.least_tier)
+        OR (r.low IS NOT NULL AND f.arg = '@' AND r.inside AND f.n BETWEEN r.low AND r.high)))
+    WHERE place <= 5 OR low IS NOT NULL""",
+    ),
     "scope_window": _with(
         USERS,
         """SELECT project, row_number() OVER (PARTITION BY project ORDER BY started DESC, session_id DESC) AS n,

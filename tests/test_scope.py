@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoolsift.functions.times import is_live, parse_bound
-from spoolsift.operators.scope import NotOneSession, handles, in_window, resolve, session_list
+from spoolsift.operators.scope import NotOneSession, handles, in_window, resolve, resolve_each, session_list
 
 NOW = datetime(2031, 3, 14, 12, tzinfo=UTC)
 
@@ -92,6 +92,45 @@ def test_at_most_five_candidates(as_sessions):
     assert error.value.total == 8 and error.value.candidates == [(f"ab{i}", f"t{i}") for i in (8, 7, 6, 5, 4)]
 
 
+def test_many_arguments_are_read_as_one_is(sessions):
+    numbered = handles(sessions)
+    args = [None, "@2", "@4:@2", "bb", "AA2", "beta", "third", "aa", "parser", "nothing", "@0", "@9:@1", "", "aa"]
+    rows = resolve_each(numbered, args).orderBy("n").collect()
+    assert {r["arg"] for r in rows} == set(args)
+    for arg in args:
+        mine = [r for r in rows if r["arg"] == arg]
+        try:
+            expected = ids(resolve(numbered, arg))
+        except NotOneSession as error:
+            assert {(r["state"], r["total"]) for r in mine} == {("several" if error.total else "none", error.total)}
+            assert [(r["short_id"], r["title"]) for r in mine if r["n"]] == error.candidates
+            assert len(mine) == max(1, len(error.candidates))
+        else:
+            assert [r["session_id"] for r in mine] == expected
+            assert {(r["state"], r["total"]) for r in mine} == {("one", len(expected))}
+
+
+def test_arguments_by_project(sessions):
+    mixed = sessions.withColumn("project", F.when(F.col("session_id").isin("aa11", "bb33"), F.lit(None)).otherwise(F.lit("q")))
+    found = {(r["project"], r["arg"]): (r["state"], r["session_id"]) for r in resolve_each(handles(mixed), ["aa", "@2"]).collect()}
+    assert found[None, "aa"] == ("one", "aa11") and found["q", "aa"][0] == "several"
+    assert found[None, "@2"] == ("one", "bb33") and found["q", "@2"] == ("one", "aa22")
+
+
+def test_files_of_one_session_are_one(as_sessions):
+    twice = as_sessions(("ab1", "2026-01-01", "", "t", ""), ("cd1", "2026-01-02", "", "u", ""))
+    twice = twice.unionByName(twice.withColumn("path", F.concat("path", F.lit("-copy"))))
+    rows = resolve_each(handles(twice), ["ab", "AB1"]).collect()
+    assert [(r["state"], r["total"], r["session_id"]) for r in rows] == [("one", 2, "ab1")] * 4
+
+
+def test_arguments_that_cannot_be_read(sessions):
+    for args in (["@x"], ["a", "@1:"], []):
+        with pytest.raises(ValueError):
+            resolve_each(handles(sessions), args)
+    assert resolve_each(handles(sessions.where("false")), ["a", "@1", None]).count() == 0
+
+
 def test_list_rows(sessions):
     row = session_list(handles(sessions), NOW).where("n = 2").first()
     assert (row["short_id"], row["live"], row["title"]) == ("aa22", True, "parser again")
