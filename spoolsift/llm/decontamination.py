@@ -1,9 +1,15 @@
 """Benchmark decontamination: which words of a document stand in windows of benchmark items.
 
 A window of an item occurs in a document only if all its shingles do, so one of them is enough to find it: its rarest,
-the prefix of its shingles in order of rarity, the necessary one for a containment of 1. Rarity is counted over all documents.
-A document's shingle that is such a prefix gives the place where the window would have to begin; it must lie
-within the document, and the words there must be those of the window.
+the prefix of its shingles in order of rarity, the necessary one for a containment of 1.
+
+1. Every shingle of a window is counted over all documents, in one pass, and the rarest of each window chosen by a join.
+2. In a second pass each document gives the places where it has such a prefix, with the words around them.
+3. These places are joined with the windows on the prefix. Where the window would begin and end must lie within the document,
+   and the words there must be those of the window.
+
+A bitmap of the shingles looked for, of bounded size, keeps the others from being shuffled; what it lets through by chance, the
+joins leave out.
 """
 
 import sys
@@ -12,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoolsift.llm import words
@@ -24,10 +30,13 @@ cloudpickle.register_pickle_by_value(words)
 
 WINDOW = 13
 SHINGLE = 5
-# Windows that are looked up in one pass over the documents; their index is sent to all executors, about 300 bytes each.
-WINDOWS_A_PASS = 100_000
+# The largest bitmap of shingles that is sent to executors: 16 MB, whatever the number of windows.
+FILTER_BITS = 1 << 27
+# Places of prefixes in one row, and words in one block when spans are joined.
+CHUNK = 10_000
 
 LETTERS = table(letters_and_digits=True, lower=True)
+SPANS = "array<struct<start:long,end:long>>"
 
 
 def _long(hashes: np.ndarray) -> np.ndarray:
@@ -62,84 +71,131 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
     return rows.groupBy("words", "n_words").agg(F.first("shingles").alias("shingles"), F.collect_set("item_id").alias("items"))
 
 
-def _shingle_sizes(sizes: Sequence[int], shingle: int) -> list[int]:
-    return sorted({min(shingle, n) for n in sizes})
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for every value of the one column; its size follows their number up to FILTER_BITS."""
+    bits = 1 << 10
+    count = hashes.count()
+    while bits < min(16 * count, FILTER_BITS):
+        bits *= 2
+    bits = min(bits, FILTER_BITS)
+    at = F.col(hashes.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("at")
+    masks = hashes.select(at).selectExpr("shiftright(at, 6) AS place", "shiftleft(1L, cast(at & 63 AS int)) AS mask")
+    masks = masks.groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(max(1, bits >> 6), np.uint64)
+    out[masks["place"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
+    return out
+
 
+def _among(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    at = hashes & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
-def shingle_counts(docs: DataFrame, wanted: np.ndarray, sizes: Sequence[int], text: str) -> DataFrame:
-    """How often each wanted shingle occurs in all documents."""
-    known = docs.sparkSession.sparkContext.broadcast((np.sort(wanted), list(sizes)))
+
+def _places(w: Words, sizes: Sequence[int], bitmap: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size of shingle: the places within one text whose shingle may be among those looked for, and their hashes."""
+    hashes = w.hashes()
+    for size in sizes:
+        found = runs(hashes, size)
+        at = np.flatnonzero(w.valid(size) & _among(found, bitmap))
+        yield size, at, _long(found[at])
+
+
+def shingle_counts(docs: DataFrame, wanted: DataFrame, sizes: Sequence[int], text: str) -> DataFrame:
+    """How often each shingle of ``wanted`` that occurs in the documents does so: shingle, n."""
+    known = docs.sparkSession.sparkContext.broadcast((_bitmap(wanted), list(sizes)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, sizes = known.value
-        total = np.zeros(len(wanted), np.int64)
+        bitmap, sizes = known.value
         for batch in batches:
+            found = [np.zeros(0, np.int64)]
             for _, group in grouped([t if isinstance(t, str) else None for t in batch[text]]):
+                found += [hashes for _, _, hashes in _places(Words(group, LETTERS), sizes, bitmap)]
+            shingle, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"shingle": shingle, "n": n})
+
+    counted = docs.select(text).mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return counted.join(wanted, "shingle")
+
+
+def prefixed(windows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Windows by their rarest shingle: words, n_words, items, prefix, place (of the prefix in the window)."""
+    each = windows.select("words", "n_words", F.posexplode("shingles").alias("place", "shingle"))
+    # Of equally rare ones that with the least hash, then the first.
+    ranked = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("shingle"), F.col("place"))
+    rarest = each.join(counted, "shingle", "left").groupBy("words", "n_words").agg(F.min(ranked).alias("least"))
+    return windows.join(rarest, ["words", "n_words"]).select(
+        "words", "n_words", "items", F.col("least.shingle").alias("prefix"), F.col("least.place").alias("place")
+    )
+
+
+CANDIDATES = (
+    "doc_id long, _key long, n_words long, first boolean, "
+    "candidates array<struct<prefix:long,at:long,before:int,after:int,around:binary>>"
+)
+
+
+def prefix_places(keyed: DataFrame, prefixes: DataFrame, sizes: Sequence[int], window: int) -> DataFrame:
+    """Where documents may have one of the prefixes, with the words around that a window with it can take.
+
+    At least one row per document row, and one more for every CHUNK places; ``first`` marks one of them.
+    """
+    known = keyed.sparkSession.sparkContext.broadcast((_bitmap(prefixes), list(sizes)))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bitmap, sizes = known.value
+        for batch in batches:
+            for begin, group in grouped([t if isinstance(t, str) else None for t in batch["text"]]):
                 w = Words(group, LETTERS)
-                hashes = w.hashes()
-                for size in sizes:
-                    found = _long(runs(hashes, size))[w.valid(size)]
-                    at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                    total += np.bincount(at[wanted[at] == found], minlength=len(wanted))
-        yield pd.DataFrame({"shingle": wanted[total > 0], "n": total[total > 0]})
-
-    return docs.select(text).mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-
-
-def _index(windows: pd.DataFrame, rarity: dict[int, int]) -> dict:
-    """Windows by their rarest shingle: sorted hashes, and for each the window and the shingle's place in it."""
-    prefix, place = [], []
-    for shingles in windows["shingles"]:
-        ranks = [(rarity.get(s, 0), s, i) for i, s in enumerate(shingles)]
-        _, s, i = min(ranks)
-        prefix.append(s)
-        place.append(i)
-    order = np.argsort(np.array(prefix, np.int64), kind="stable")
-    return {
-        "prefix": np.array(prefix, np.int64)[order],
-        "place": np.array(place, np.int64)[order],
-        "n_words": windows["n_words"].to_numpy(np.int64)[order],
-        "shingle": windows["shingles"].map(len).to_numpy(np.int64)[order],
-        "words": [bytes(windows["words"].iloc[i]) for i in order],
-        "items": [[int(x) for x in windows["items"].iloc[i]] for i in order],
-    }
-
-
-def find_in(w: Words, index: dict) -> list[tuple[int, int]]:
-    """(place in the index, first word) of every window that occurs within one of the texts."""
-    hashes = w.hashes()
-    left_end = np.repeat(w.first[:-1], w.per_text)
-    right_end = np.repeat(w.first[1:], w.per_text)
-    sizes = index["n_words"] - index["shingle"] + 1  # words in a shingle of the window
-    hits = []
-    for size in np.unique(sizes).tolist():
-        mine = np.flatnonzero(sizes == size)
-        prefix = index["prefix"][mine]
-        found = _long(runs(hashes, size))
-        low, high = np.searchsorted(prefix, found, "left"), np.searchsorted(prefix, found, "right")
-        at = np.flatnonzero((high > low) & w.valid(size))
-        many = high[at] - low[at]
-        # Each place with every window of this prefix.
-        at_all = np.repeat(at, many)
-        nth = np.arange(len(at_all)) - np.repeat(np.cumsum(many) - many, many)
-        which = mine[np.repeat(low[at], many) + nth]
-        start = at_all - index["place"][which]
-        inside = (start >= left_end[at_all]) & (start + index["n_words"][which] <= right_end[at_all])
-        for k, s in zip(which[inside].tolist(), start[inside].tolist()):
-            if w.sequence(s, int(index["n_words"][k])) == index["words"][k]:
-                hits.append((k, s))
-    return hits
-
-
-def _spans(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(start, length) pairs as disjoint (start, end) ones, in order."""
+                parts = [(at, hashes, np.full(len(at), size)) for size, at, hashes in _places(w, sizes, bitmap)]
+                parts.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                at, prefix, size = (np.concatenate(part) for part in zip(*parts, strict=True))
+                order = np.argsort(at, kind="stable")
+                at, prefix, size = at[order], prefix[order], size[order]
+                owner = np.searchsorted(w.first, at, "right") - 1
+                before = np.minimum(at - w.first[owner], window - size)
+                after = np.minimum(w.first[owner + 1] - at, window)
+                edges = np.searchsorted(owner, np.arange(len(group) + 1))
+                rows, pending = [], 0
+                for i, n in enumerate(w.per_text.tolist()):
+                    doc_id = batch["doc_id"].iloc[begin + i]
+                    name = (None if pd.isna(doc_id) else int(doc_id), batch["_key"].iloc[begin + i], n)
+                    low, high = int(edges[i]), int(edges[i + 1])
+                    for start in range(low, max(high, low + 1), CHUNK):
+                        found = [
+                            {
+                                "prefix": int(prefix[k]),
+                                "at": int(at[k] - w.first[i]),
+                                "before": int(before[k]),
+                                "after": int(after[k]),
+                                "around": w.sequence(int(at[k] - before[k]), int(before[k] + after[k])),
+                            }
+                            for k in range(start, min(high, start + CHUNK))
+                        ]
+                        rows.append((*name, start == low, found))
+                        pending += len(found)
+                        if pending >= CHUNK:
+                            yield _rows(rows)
+                            rows, pending = [], 0
+                yield _rows(rows)
+
+    return keyed.mapInPandas(probe, CANDIDATES)
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["doc_id", "_key", "n_words", "first", "candidates"])
+    return frame.astype({"doc_id": "Int64", "first": bool})
+
+
+def _joined(spans: list[dict]) -> list[dict]:
+    """Spans that overlap or touch as one, in order."""
     out: list[list[int]] = []
-    for start, length in sorted(hits):
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
         if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + length)
+            out[-1][1] = max(out[-1][1], end)
         else:
-            out.append([start, start + length])
-    return [(a, b) for a, b in out]
+            out.append([start, end])
+    return [{"start": a, "end": b} for a, b in out]
 
 
 def contamination(
@@ -151,79 +207,40 @@ def contamination(
     ``n_hit``: the words in them; ``items``: sorted ids of items with an occurring window. A null text has no words and no
     hits; items that are null or without words, or have no id, give no window; equal items are found by all their ids; rows that
     are equal in id and text come out as often as they come in. Empty tables of either kind are fine.
-
-    Windows are looked up in passes of WINDOWS_A_PASS; the rows of all passes meet by document.
     """
-    spark = docs.sparkSession
     windows = kept(item_windows(items, window, shingle), "windows")
-    total = windows.count()
-    passes = max(1, -(-total // WINDOWS_A_PASS))
+    size = F.least("n_words", F.lit(shingle)).alias("size")
+    sizes = sorted(row["size"] for row in windows.select(size).distinct().collect())
+    wanted = kept(windows.select(F.explode("shingles").alias("shingle")).distinct(), "wanted")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("_key"), F.col(text).alias("text"))
-    found = None
-    for i in range(passes):
-        some = windows.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == i).toPandas()
-        rarity: dict[int, int] = {}
-        if len(some):
-            wanted = np.unique(np.concatenate([np.asarray(s, np.int64) for s in some["shingles"]]))
-            sizes = _shingle_sizes(some["n_words"].unique().tolist(), shingle)
-            counted = shingle_counts(keyed, wanted, sizes, "text").toPandas()
-            rarity = dict(zip(counted["shingle"].tolist(), counted["n"].tolist()))
-        rows = _look_up(keyed, spark.sparkContext.broadcast(_index(some, rarity)), first=i == 0)
-        found = rows if found is None else found.unionByName(rows)
-    if passes > 1:
-        found = _merged(found)
-    places = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "_key", "n_words", "spans", places.alias("n_hit"), F.array_sort("items").alias("items"))
-
-
-FOUND = "doc_id long, _key long, n_words long, spans array<struct<start:long,end:long>>, items array<long>, _copies int"
-
-
-def _look_up(keyed: DataFrame, shared, first: bool) -> DataFrame:
-    """What each document has of the windows in the index; after the first pass only documents with any."""
-
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        for batch in batches:
-            rows = []
-            for begin, group in grouped([t if isinstance(t, str) else None for t in batch["text"]]):
-                w = Words(group, LETTERS)
-                hits: list[list[tuple[int, int]]] = [[] for _ in group]
-                owners: list[set[int]] = [set() for _ in group]
-                for k, start in find_in(w, index):
-                    text = int(np.searchsorted(w.first, start, "right")) - 1
-                    hits[text].append((start - int(w.first[text]), int(index["n_words"][k])))
-                    owners[text].update(index["items"][k])
-                for i, n in enumerate(w.per_text.tolist()):
-                    if first or hits[i]:
-                        doc_id = batch["doc_id"].iloc[begin + i]
-                        spans = [{"start": a, "end": b} for a, b in _spans(hits[i])]
-                        rows.append(
-                            (None if pd.isna(doc_id) else int(doc_id), batch["_key"].iloc[begin + i], n, spans, sorted(owners[i]), int(first))
-                        )
-            frame = pd.DataFrame(rows, columns=["doc_id", "_key", "n_words", "spans", "items", "_copies"])
-            yield frame.astype({"doc_id": "Int64"})
-
-    return keyed.mapInPandas(look_up, FOUND)
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    """Rows of several passes as one row per document row."""
-    # Copies of a row bring equal arrays, of which a set keeps one.
-    one = found.groupBy("doc_id", "_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        F.sum("_copies").cast("int").alias("_copies"),
+    index = kept(prefixed(windows, shingle_counts(keyed, wanted, sizes, "text")), "prefixes")
+    found = kept(prefix_places(keyed, index.select("prefix").distinct(), sizes, window), "places")
+
+    places = found.select("doc_id", "_key", F.explode("candidates").alias("c")).select("doc_id", "_key", "c.*")
+    # The window must begin and end within the document, and the words there be its words.
+    fits = (F.col("before") >= F.col("place")) & (F.col("after") >= F.col("n_words") - F.col("place"))
+    there = F.slice(F.split(F.col("around").cast("string"), " "), F.col("before") - F.col("place") + 1, F.col("n_words"))
+    hits = places.join(index, "prefix").where(fits).where(F.array_join(there, " ") == F.col("words").cast("string"))
+    start = F.col("at") - F.col("place")
+    hits = hits.select("doc_id", "_key", start.alias("start"), (start + F.col("n_words")).alias("end"), "items")
+
+    @F.pandas_udf(SPANS)
+    def joined(spans: pd.Series) -> pd.Series:
+        return spans.map(_joined)
+
+    # First within blocks of a document, so that many hits of one text meet as few spans.
+    blocks = hits.groupBy("doc_id", "_key", F.floor(F.col("start") / CHUNK).alias("block")).agg(
+        F.collect_set(F.struct("start", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
-    joined = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda done, s: F.when((F.size(done) == 0) | (s["start"] > F.get(done, F.size(done) - 1)["end"]), F.concat(done, F.array(s)))
-        .otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(_longer(F.get(done, F.size(done) - 1), s)))),
+    blocks = blocks.select("doc_id", "_key", joined("spans").alias("spans"), "items")
+    whole = blocks.groupBy("doc_id", "_key").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
+    )
+    whole = whole.select(F.col("doc_id").alias("hit_id"), F.col("_key").alias("hit_key"), joined("spans").alias("spans"), "items")
+    rows = found.where("first").select("doc_id", "_key", "n_words")
+    rows = rows.join(whole, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("_key") == F.col("hit_key")), "left")
+    spans = F.coalesce("spans", F.array().cast(SPANS))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", "_key", "n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items")).select(
+        "doc_id", "_key", "n_words", "spans", n_hit.alias("n_hit"), F.array_sort("items").alias("items")
     )
-    return one.withColumn("spans", joined).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-
-
-def _longer(span: Column, other: Column) -> Column:
-    return F.struct(span["start"].alias("start"), F.greatest(span["end"], other["end"]).alias("end"))

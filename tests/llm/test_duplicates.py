@@ -97,17 +97,26 @@ def test_windows_of_items_are_found_as_by_loops(spark, mixed, monkeypatch):
     expected = sorted(brute.contamination(mixed, [x for x in items if x[0] is not None]))
     assert sum(e[2] > 0 for e in expected) > 20
     table_ = spark.createDataFrame(items, "item_id long, text string")
-    for a_pass in (100_000, 40):
-        monkeypatch.setattr(decontamination, "WINDOWS_A_PASS", a_pass)
+    for bits, chunk in ((1 << 27, 10_000), (64, 3)):
+        monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
+        monkeypatch.setattr(decontamination, "CHUNK", chunk)
         rows = decontamination.contamination(frame(spark, mixed), table_).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows) == expected
 
 
+def test_one_word_again_and_again_is_hit_throughout(spark):
+    docs = [(i, "the " * n) for i, n in ((1, 5000), (2, 12), (3, 13), (4, 1))] + [(5, "the " * 20 + "end"), (5, "the " * 20 + "end")]
+    items = [(1, "the " * 30), (2, "the"), (3, "THE the the"), (4, "the " * 12 + "end")]
+    rows = decontamination.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in rows) == sorted(brute.contamination(docs, items))
+
+
 def test_contamination_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     items = spark.createDataFrame([(1, PASSAGE), (2, "One two three")], "item_id long, text string")
     expected = sorted((i or -1, *rest) for i, *rest in brute.contamination(ODD, [(1, PASSAGE), (2, "One two three")]))
-    for a_pass in (100_000, 30):
-        monkeypatch.setattr(decontamination, "WINDOWS_A_PASS", a_pass)
+    for bits, chunk in ((1 << 27, 10_000), (64, 3)):
+        monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
+        monkeypatch.setattr(decontamination, "CHUNK", chunk)
         rows = decontamination.contamination(odd_docs, items).collect()
         assert sorted((r.doc_id or -1, r.n_words, r.n_hit, list(r["items"])) for r in rows) == expected
     assert decontamination.contamination(no_docs, items).count() == 0
