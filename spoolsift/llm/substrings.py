@@ -3,7 +3,8 @@
 1. Every window of ``window`` words is stood for by the smallest hash of the short phrases in it. Equal windows have
    equal phrases, and neighbours mostly share theirs, so a document has few. A phrase of two documents or more may
    belong to a recurring passage.
-2. The words of these phrases are compiled into Aho-Corasick automata, sharded by the first document that has the phrase.
+2. The words of these phrases are compiled into Aho-Corasick automata, sharded by the first document that has the phrase; the
+   phrases of a very long one are dealt to several shards.
    A document is sent only to the shards of its phrases; the texts of a shard in demand are split, its phrases copied.
 3. Each automaton reads its texts and gives every place of every phrase. The windows these phrases stand for are
    confirmed: those that start in a document with a smaller id are removed there.
@@ -33,6 +34,9 @@ WINDOW = 50
 PHRASE = 10
 # Bytes of phrases in one automaton (some 60 bytes of memory each) and of texts that one task reads with it.
 SHARD_BYTES = 512 << 10
+# Bytes of phrases of one document that may meet in one shard. A text is copied to as many shards as hold its phrases: about
+# every 21st word begins one, of 80 bytes or so; a text of 20 MB and 3.3 million words has 13 MB of them and is the first in 7 shards.
+DOCUMENT_BYTES = 2 << 20
 SPLIT_BYTES = 8 << 20
 
 LETTERS = table(letters_and_digits=False, lower=False)
@@ -164,8 +168,10 @@ def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, phrase: i
     smaller doc_id, in order; ``kept_sha256``: digest of the words outside, joined by blanks. Words are what white space
     separates; a null or empty text has none and nothing removed. Rows of one id are one document to each other: their
     windows are not removed on account of each other. A row without id removes nothing and has nothing removed. Repeated rows give
-    repeated rows; an empty table gives an empty one. Long texts are taken whole.
+    repeated rows; an empty table gives an empty one. Long texts are taken whole. ``window`` must hold a phrase.
     """
+    if not 0 < phrase <= window:
+        raise ValueError(f"a window of {window} words holds no phrase of {phrase}")
     scratch = Scratch(docs.sparkSession, "repeats")
     profile = scratch.keep(profiles(docs, text, window, phrase), "profiles")
     # One document for all with the same words: the first. Later ones go as a whole, so their windows need no search.
@@ -174,12 +180,15 @@ def repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, phrase: i
         F.min("doc_id").alias("doc_id"), F.min_by("_key", F.struct("doc_id", "_key")).alias("_key"), F.first("phrases").alias("phrases")
     )
     first = scratch.keep(first, "firsts")
-    having = first.select("doc_id", "_key", F.explode("phrases").alias("phrase"))
-    recurring = having.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    recurring = scratch.keep(recurring.where(F.col("first") < F.col("last")).drop("last"), "recurring")
+    blocks = F.ceil(F.size("phrases") * F.lit(PHRASE * 8) / F.lit(DOCUMENT_BYTES)).alias("blocks")
+    having = first.select("doc_id", "_key", blocks, F.explode("phrases").alias("phrase"))
+    recurring = having.groupBy("phrase").agg(F.min(F.struct("doc_id", "blocks")).alias("least"), F.max("doc_id").alias("last"))
+    recurring = recurring.where(F.col("least.doc_id") < F.col("last"))
+    block = F.pmod(F.xxhash64("phrase"), F.col("least.blocks")).alias("block")
+    recurring = scratch.keep(recurring.select("phrase", F.col("least.doc_id").alias("first"), block), "recurring")
     shards = max(1, -(-recurring.count() * PHRASE * 8 // SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("first"), F.lit(shards))
-    pairs = having.join(recurring, "phrase").withColumn("shard", shard)
+    shard = F.pmod(F.xxhash64("first", "block"), F.lit(shards))
+    pairs = having.drop("blocks").join(recurring, "phrase").withColumn("shard", shard)
     needs = pairs.groupBy("doc_id", "_key").agg(
         F.collect_set("shard").alias("shards"),
         F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.col("phrase"))).alias("own"),

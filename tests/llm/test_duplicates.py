@@ -70,6 +70,34 @@ def test_passages_go_as_by_loops(spark, mixed, monkeypatch):
     assert all(sum(s["end"] - s["start"] for s in r.spans) == r.n_removed for r in rows)
 
 
+def test_phrases_of_a_long_text_are_dealt_to_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(substrings, "DOCUMENT_BYTES", 2000)
+    sizes = []
+
+    def keep(self, df, name):
+        if name == "recurring":
+            sizes.extend(df.groupBy("first", "block").count().collect())
+        return plain(self, df, name)
+
+    plain = substrings.Scratch.keep
+    monkeypatch.setattr(substrings.Scratch, "keep", keep)
+    rng = random.Random(3)
+    words = sentences(rng, 6000, 10**6)
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:3000], "between", *words[3000:]])), (3, " ".join(words[100:180])), (4, "apart " * 60)]
+    rows = substrings.repeats(frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == sorted(brute.repeats(docs))
+    assert len(sizes) > 5 and max(row["count"] for row in sizes) * 80 < 2 * 2000
+
+
+def test_a_window_holds_a_phrase(spark):
+    docs = [(1, "a b c d e f g h i j k l"), (2, "x a b c d e f g h i j k l")]
+    rows = substrings.repeats(frame(spark, docs), window=10, phrase=10).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: 12}
+    with pytest.raises(ValueError, match="no phrase"):
+        substrings.repeats(frame(spark, docs), window=5)
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     rows = substrings.repeats(odd_docs).collect()
     found = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in rows)
