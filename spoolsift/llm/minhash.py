@@ -160,11 +160,12 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str)
 def near_duplicates(
     docs: DataFrame, percent: int = 85, text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per document row: doc_id, _key (hash of the text), n_shingles, component_id, kept.
+    """One row per document row: doc_id, _key (hash of the text), n_shingles, component_id, kept, first.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of ``shingle``-word shingles, lower-cased in A-Z;
     of fewer words all make one shingle. ``component_id`` is the smallest doc_id that links lead to, the document's own
-    included; ``kept``: it is that one. A null or blank text has an empty set and is linked with nothing. A row without
+    included; ``kept``: it is that one. ``first``: of the rows with that id also the text is the one with the smallest key, so that of
+    a group whose smallest id stands on several texts one text is first. A null or blank text has an empty set and is linked with nothing. A row without
     doc_id takes no part: it has no component and is kept. Repeated rows come out as often as they come in (an id's row that is
     kept is kept as often); texts of any length are taken whole; an empty table gives an empty one.
     """
@@ -232,17 +233,20 @@ def near_duplicates(
     final = joined.select("node", F.col("root").alias("_first")).join(
         again.select(F.col("node").alias("_first"), "root"), "_first"
     ).select("node", "root")
-    named = nodes.select("node", "digest", "doc_id").join(final, "node", "left")
+    named = nodes.select("node", "digest", "doc_id", "_key").join(final, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = scratch.keep(named.join(smallest, "root").select("digest", "component_id"), "classes")
+    smallest = named.groupBy("root").agg(F.min(F.struct("doc_id", "_key")).alias("least"))
+    smallest = smallest.select("root", F.col("least")["doc_id"].alias("component_id"), F.col("least")["_key"].alias("component_key"))
+    classes = scratch.keep(named.join(smallest, "root").select("digest", "component_id", "component_key"), "classes")
     scratch.drop("members", "popular", "centres", "sets", "star-links", "joined", "contested", "possible", "more-links", "nodes")
 
     every = signed.select("doc_id", "_key", "n_shingles", "digest").join(classes, "digest", "left")
     own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(own, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return every.select(
         *("doc_id", "_key", "n_shingles"),
         component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        kept.alias("kept"),
+        (own | (kept & (F.col("_key") == F.col("component_key")))).alias("first"),
     )
