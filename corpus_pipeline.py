@@ -25,9 +25,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near ones, that with the smallest doc_id; of equal rows one."""
+    """One document of each group of near ones, that with the smallest doc_id; of several texts under that id the one with the
+    smallest hash, and of rows equal in id and text one."""
     found = minhash.near_duplicates(docs, percent=NEAR)
-    return _without(docs, found.where(~F.col("kept"))).dropDuplicates(["id", "hash"]).select("row.*")
+    return _without(docs, found.where(~F.col("first"))).dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
