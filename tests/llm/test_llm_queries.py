@@ -146,6 +146,20 @@ def test_stages_do_what_they_say(spark):
     assert stages["packing"](spark, pure, SF).select("doc_id").distinct().count() == len(good)
 
 
+def test_one_text_of_a_group_stays_though_its_id_stands_on_several(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = lambda at: " ".join([*base[:at], f"edit{at}", *base[at + 1 :]])
+    apart = " ".join(f"other{i}" for i in range(200))
+    rows = [(5, near(20)), (5, near(90)), (5, near(90).upper()), (5, near(20)), (8, near(150)), (5, apart), (9, apart), (5, None), (5, ""), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()
+    texts = [r.text for r in left if r.text and r.text.strip()]
+    assert all(r.doc_id == 5 for r in left if r.text and r.text.strip())
+    assert len(texts) == 2 and apart in texts and {*texts} < {t for _, t in rows}
+    # A null text is kept as the empty one is; rows equal in id and text are one.
+    assert sorted((r.doc_id, (r.text or "").strip()) for r in left if r.text not in texts) == [(5, ""), (7, "")]
+
+
 def test_stages_with_odd_rows(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
