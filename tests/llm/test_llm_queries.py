@@ -13,10 +13,11 @@ from tokenizers import Tokenizer
 
 from tests.compare import database, spark_rows, sql_rows
 
-from . import brute
+from . import brute, brute_toxicity
 from .test_rules import repetition_by_loops
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +83,21 @@ def test_op7(spark, docs):
         assert 0 <= score <= 1 and predicted == (score >= 0.3)
 
 
+def test_op7_scores_as_by_loops(spark):
+    tables = database(LARGER)
+    docs = tables.execute("SELECT doc_id, text FROM documents").fetchall()
+    labels = tables.execute("SELECT doc_id, toxic FROM labels").fetchall()
+    _, _, scores = brute_toxicity.scores(docs, labels)
+    rows = QUERIES["op7_toxicity"](spark, LARGER).collect()
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(scores, abs=1e-6)
+    # Of 94 held-out labelled rows 14 are toxic; 9 are found, and no clean one is.
+    truth = dict(labels)
+    held_out = [r for r in rows if r.held_out and truth.get(r.doc_id) is not None]
+    toxic, said = (sum(truth[r.doc_id] for r in held_out), sum(r.predicted for r in held_out))
+    hits = sum(r.predicted * truth[r.doc_id] for r in held_out)
+    assert hits >= 0.6 * toxic and hits >= 0.95 * said
+
+
 def test_op8(spark, docs, vocabularies):
     library = sentencepiece.SentencePieceProcessor(model_file=vocabularies["piece_bpe_32k.model"])
     expected = []

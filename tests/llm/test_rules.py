@@ -2,11 +2,12 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from spoolsift.llm import licenses, quality, toxicity
 
-from . import brute
+from . import brute, brute_toxicity
 from .conftest import ODD
 
 
@@ -115,6 +116,17 @@ def test_toxic_words_are_learnt_and_held_out_rows_judged(spark):
     assert right >= 0.95 * len(judged)
 
 
+def test_words_exceptions_and_scores_as_by_loops(spark):
+    docs, labels = labelled(spark, 600)
+    model = toxicity.learn(docs, labels, ())
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    weights, exceptions, scores = brute_toxicity.scores(texts, labels.collect())
+    assert model.weights == pytest.approx(weights) and len(weights) > 1
+    assert set(model.exceptions) == exceptions == {"snerpit birds"}
+    found = {r.doc_id: r.toxicity for r in toxicity.toxicity(docs, model).collect()}
+    assert found == pytest.approx(scores, abs=1e-6)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     docs, labels = labelled(spark, 150)
     other = labels.withColumn("toxic", F.when(toxicity.training_rows(F.col("doc_id")), F.col("toxic")).otherwise(1 - F.col("toxic")))
