@@ -3,13 +3,16 @@
 A text is cut where the library's own pre-tokenizers always cut, so that the ids of the pieces, one after
 the other, are the ids of the text. Pieces seen before are looked up; only new ones go to the library: those of
 plain letters straight to its model (neither a pre-tokenizer nor a special token can cut them), others whole.
+Columns of texts are cut in numpy and their pieces told apart by Arrow, so that each is looked up once a stretch.
 """
 
 import json
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,6 +34,17 @@ _PLAIN = re.compile(f" ?[{LETTERS}]+")
 KEPT = 300_000
 LONGEST = 64
 
+# Bytes of a column that are cut at a time; a longer text is a stretch of its own.
+STRETCH = 4 << 20
+
+# What a byte of UTF-8 says: a letter, punctuation, no white space, white space before which a text may be cut.
+LETTER, POINT, SOLID, BLANK = 1, 2, 4, 8
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = SOLID
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] |= LETTER
+_KINDS[[*PUNCTUATION.encode()]] |= POINT
+_KINDS[[*b" \t\n\r"]] = BLANK
+
 # Steps before the model that cut wherever PIECES does and leave letters as letters. How two public files state them.
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -89,6 +103,40 @@ class Encoder:
             return self._whole(text)
         return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
+    def encode_column(self, texts) -> Iterator[bytes]:
+        """What ``encode`` gives for each text of an Arrow column, null as empty."""
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.cuts or not len(texts):
+            yield from (self._whole(text.as_py()) for text in texts)
+            return
+        places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        letters = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            until = max(at + 1, int(np.searchsorted(places, places[at] + STRETCH, "right")) - 1)
+            yield from self._stretch(letters[places[at] : places[until]], places[at : until + 1] - places[at])
+            at = until
+
+    def _stretch(self, letters: np.ndarray, places: np.ndarray) -> Iterator[bytes]:
+        """Ids of texts that follow each other in ``letters``, from each of ``places`` to the next."""
+        import pyarrow as pa
+
+        starts = _piece_starts(letters, places)
+        bounds = pa.py_buffer(np.append(starts, len(letters)))
+        cut = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(letters)).dictionary_encode()
+        found = [self.pieces[piece] for piece in cut.dictionary.to_numpy(zero_copy_only=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, which = np.frombuffer(b"".join(found), "<u4"), cut.indices.to_numpy()
+        counts = sizes[which]
+        before = np.append(0, np.cumsum(counts))
+        shifts = (np.cumsum(sizes) - sizes)[which] - before[:-1]
+        ids = ids[np.repeat(shifts, counts) + np.arange(before[-1])]
+        ends = before[np.searchsorted(starts, places)].tolist()
+        for start, end in zip(ends, ends[1:]):
+            yield ids[start:end].tobytes()
+
     def _encode(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return self._whole(piece)
@@ -113,6 +161,31 @@ def _cuts_are_safe(steps: dict) -> bool:
     return all(plain.fullmatch(t["content"]) and not t["lstrip"] and not t["rstrip"] for t in steps["added_tokens"])
 
 
+def _piece_starts(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where pieces start in UTF-8 texts: at each text, and where any text may be cut.
+
+    Cuts are before white space that follows something else, between letters and punctuation, and after a line feed that
+    stands alone. What a byte says of the text before does no harm, since a text's start is a cut anyway.
+    """
+    kinds = _KINDS[letters]
+    if len(letters) and letters.max() >= 0x80:
+        # Other characters than white space, by their first byte; of those of U+2000 only dashes, quotes and the like.
+        two = (letters >= 0xC3) & (letters <= 0xDF)
+        three = (letters == 0xE0) | (letters >= 0xE4) & (letters <= 0xEF)
+        three[:-2] |= (letters[:-2] == 0xE2) & (letters[1:-1] == 0x80) & (letters[2:] >= 0x90) & (letters[2:] <= 0xA7)
+        for size, first in ((2, two), (3, three), (4, letters >= 0xF0)):
+            kinds[np.flatnonzero(first) + size - 1] |= SOLID
+        latin = np.flatnonzero((letters[:-1] == 0xC3) & (letters[1:] != 0x97) & (letters[1:] != 0xB7))
+        kinds[latin] |= LETTER | SOLID
+        kinds[latin + 1] |= LETTER
+    cut = np.zeros(len(letters) + 1, bool)
+    solid, blank = kinds & SOLID > 0, kinds & BLANK > 0
+    cut[1:-1] = solid[:-1] & blank[1:] | (kinds[:-1] & LETTER > 0) & (kinds[1:] & POINT > 0)
+    cut[2:-1] |= solid[:-2] & (letters[1:-1] == 10) & solid[2:]
+    cut[places] = True
+    return np.flatnonzero(cut[:-1])
+
+
 def _byte_alphabet() -> dict[int, int]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else the next free one."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}

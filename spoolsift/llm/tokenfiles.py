@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ WITH_CHECKSUMS = 0x80
 # Ids in one frame at most; longer documents take several.
 IDS_A_FRAME = 1 << 20
 _DOCUMENT = np.dtype([("id", "<i8"), ("known", "u1"), ("tokens", "<u8"), ("frames", "<u4")])
+_FILES = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 _FRAME = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 
 
@@ -137,13 +139,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, folder:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), text_key().alias("_key"))
     dealt = rows.repartitionByRange("doc_id", "_key").sortWithinPartitions("doc_id", "_key")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         words, end = encoder(vocabulary), struct.pack("<I", end_id)
         writer = None
         for batch in batches:
-            for doc_id, known, text in zip(batch["doc_id"], batch["doc_id"].notna(), batch["text"]):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode_column(batch["text"])):
                 if writer is None:
                     part = TaskContext.get().partitionId()
                     attempt = TaskContext.get().taskAttemptId()
@@ -151,16 +153,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, folder:
                     store.create_dir(place, recursive=True)
                     name = f"{part:06d}-{attempt}.ids.zst"
                     writer = Writer(store.open_output_stream(f"{place}/{name}", compression=None))
-                writer.add(int(doc_id) if known else None, words.encode(text or "") + end)
+                writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             writer.stream.close()
             tokens = sum(d[2] for d in writer.documents)
-            yield pd.DataFrame(
-                {"part": [part], "file": [f"{folder}/{name}"], "n_docs": [len(writer.documents)], "n_tokens": [tokens]}
-            )
+            row = {"part": part, "file": f"{folder}/{name}", "n_docs": len(writer.documents), "n_tokens": tokens}
+            yield pa.RecordBatch.from_pylist([row], _FILES)
 
-    files = dealt.select("doc_id", "text").mapInPandas(write, "part int, file string, n_docs long, n_tokens long")
+    files = dealt.select("doc_id", "text").mapInArrow(write, "part int, file string, n_docs long, n_tokens long")
     return kept(files, "token-files")
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -30,6 +31,43 @@ def test_encoder_gives_the_ids_of_the_library(vocabularies, name):
         assert encoder.encode(text) == np.array(encoding.ids, "<u4").tobytes(), text
 
 
+MORE_BITS = [*BITS, "word", "\r", "\x85", "\u2009", "\u2019", "\u2014", "\u201d", "\u2028", "\u202f", "\u3000", "か", "\u0301", "я", "×", ";", "?!", "12"]
+
+
+@pytest.mark.parametrize("stretch", [1, 40, encoding.STRETCH])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_columns_give_the_ids_of_the_library(vocabularies, monkeypatch, name, stretch):
+    monkeypatch.setattr(encoding, "STRETCH", stretch)
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(MORE_BITS, k=rng.randrange(25))) for _ in range(4000)]
+    texts += [t for _, t in ODD] + [None, "", None]
+    library, encoder = Tokenizer.from_file(vocabularies[name]), Encoder(vocabularies[name])
+    expected = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string())):
+        assert list(encoder.encode_column(column)) == expected
+        assert list(encoder.encode_column(column[5:-2])) == expected[5:-2]
+    for few in ([], [None], ["", None], ["\n"]):
+        ids = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in few]
+        assert list(encoder.encode_column(pa.array(few, pa.string()))) == ids
+    encoder.cuts = False
+    assert list(encoder.encode_column(pa.array(texts[-30:], pa.string()))) == expected[-30:]
+
+
+def test_each_piece_of_a_column_is_looked_up_once(vocabularies):
+    """Looking up every word of every text was most of the time of op4."""
+    encoder, asked = Encoder(vocabularies["byte_bpe_50k.json"]), []
+
+    class Asked(dict):
+        def __missing__(self, piece):
+            asked.append(piece)
+            return encoder._encode(piece)
+
+    encoder.pieces = Asked()
+    texts = ["The cat, été fini. The end\nThe cat”", " cat, the été."] * 50
+    list(encoder.encode_column(pa.array(texts)))
+    assert sorted(asked) == sorted({"The", " cat", ",", " été", " fini", ".", " The", " end", "\n", " cat”", " the"})
+
+
 @pytest.mark.parametrize("chunk", [1, 5, counts.CHUNK])
 def test_transducer_counts_as_the_library(vocabularies, monkeypatch, chunk):
     monkeypatch.setattr(counts, "CHUNK", chunk)
