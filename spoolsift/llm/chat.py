@@ -67,18 +67,16 @@ def spans(tokens: list[int], first: int, system: int, budget: int, history: int)
     """(history from, new from, end) of the windows over turns of so many tokens; turns before ``first`` are only repeated.
 
     Sums up to each turn are searched for the longest history within its own limit, and the most new turns within the budget that
-    ``system`` and history leave. A window has a new turn at least, and no history if that turn does not fit beside it.
+    ``system`` and history leave. A window has a new turn at least, and only as much history as that turn fits beside.
     """
     before = [0]
     for n in tokens:
         before.append(before[-1] + n)
     at = first
     while at < len(tokens):
-        back = max(bisect.bisect_left(before, before[at] - history, 0, at), at - REPEATED)
-        room = budget - system + before[back]
-        if before[at + 1] > room:
-            back, room = at, budget - system + before[at]
-        end = max(bisect.bisect_right(before, room, at + 1) - 1, at + 1)
+        room = budget - system
+        back = max(bisect.bisect_left(before, max(before[at] - history, before[at + 1] - room), 0, at), at - REPEATED)
+        end = max(bisect.bisect_right(before, before[back] + room, at + 1) - 1, at + 1)
         yield back, at, end
         at = end
 

@@ -62,6 +62,12 @@ def test_spans_are_whole_turns_within_the_budget(tokens, system, budget, history
     assert at == len(tokens)
 
 
+def test_history_is_shortened_where_all_of_it_leaves_no_room():
+    assert list(chat.spans([1, 0, 1], 0, 0, 1, 1)) == [(0, 0, 2), (1, 2, 3)]
+    assert list(chat.spans([5, 2, 8], 0, 0, 10, 7)) == [(0, 0, 2), (1, 2, 3)]
+    assert list(chat.spans([5, 2, 9], 0, 1, 10, 7)) == [(0, 0, 2), (2, 2, 3)]
+
+
 ODD_ROWS = [
     *[(1, k, "system" if k == 0 else ("assistant", "user")[k % 2], f"turn {k} " + "word " * (k % 9)) for k in range(40)],
     (2, 0, "user", SAID),
